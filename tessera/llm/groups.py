@@ -67,9 +67,9 @@ def _renamed(df: DataFrame, col: str, parents: DataFrame) -> DataFrame:
     Salted on both sides: after a few rounds one parent may stand for a third
     of all rows.
     """
-    salted = parents.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))).withColumnRenamed("v", col)
+    salted = parents.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))).select(F.col("v").alias(col), F.col("p").alias("_p"), "_s")
     out = df.withColumn("_s", F.pmod(F.xxhash64(*df.columns), F.lit(_SALTS)).cast("int")).join(salted, [col, "_s"], "left")
-    return out.withColumn(col, F.coalesce("p", col)).select(*df.columns)
+    return out.withColumn(col, F.coalesce("_p", col)).select(*df.columns)
 
 
 def components(links: DataFrame, cell_links: int = CELL_LINKS) -> DataFrame:
