@@ -1,0 +1,50 @@
+"""Hashes and fingerprints of texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+SIGNATURE = 64
+#: A prime just below 2 ** 31; products of two numbers below it fit 64 bits.
+_PRIME = 2_147_483_647
+
+
+def md5_60(col: Column) -> Column:
+    """The first 60 bits of the MD5 sum, as a number that is never negative."""
+    return F.conv(F.substring(F.md5(col), 1, 15), 16, 10).cast("long")
+
+
+def stable_id(*parts: Column, length: int = 16) -> Column:
+    """The start of the SHA-256 sum of the parts joined by a bar; null parts count as empty."""
+    return F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256), 1, length)
+
+
+def pair_cluster_id(a: Column, b: Column) -> Column:
+    """An id of an unordered pair."""
+    return F.concat(F.lit("dup_"), F.substring(F.sha2(F.concat_ws("|", F.least(a, b), F.greatest(a, b)), 256), 1, 16))
+
+
+def simhash(tokens: Column, bits: int = 60) -> Column:
+    """The fingerprint whose bit is set where more tokens' hashes have it than not; 0 for no tokens.
+
+    One pass over the tokens' hashes with one counter a bit.
+    """
+    hashes = F.transform(tokens, md5_60)
+    counts = F.aggregate(
+        hashes,
+        F.array_repeat(F.lit(0), bits),
+        lambda acc, h: F.transform(acc, lambda c, i: c + F.when(F.shiftright(h, i).bitwiseAND(F.lit(1).cast("long")) == 1, 1).otherwise(-1)),
+    )
+    return F.aggregate(F.transform(counts, lambda c, i: F.when(c > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x)
+
+
+def minhash(tokens: Column, size: int = SIGNATURE) -> Column:
+    """The least value of each of ``size`` hash functions over the tokens; null for no tokens.
+
+    The functions are linear maps modulo a prime of one hash a token, with
+    factors that follow from the position by a rule.
+    """
+    base = F.transform(tokens, lambda t: F.pmod(md5_60(t), F.lit(_PRIME)))
+    factors = [((2 * i + 1) * 1_103_515_245 % _PRIME, (i + 1) * 12_345_701 % _PRIME) for i in range(size)]
+    return F.when(F.size(tokens) > 0, F.array(*[F.array_min(F.transform(base, lambda h, a=a, b=b: F.pmod(h * F.lit(a).cast("long") + F.lit(b).cast("long"), F.lit(_PRIME).cast("long")))) for a, b in factors]))
