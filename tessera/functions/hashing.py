@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 SIGNATURE = 64
 #: A prime just below 2 ** 31; products of two numbers below it fit 64 bits.
 _PRIME = 2_147_483_647
@@ -34,9 +36,9 @@ def simhash(tokens: Column, bits: int = 60) -> Column:
     counts = F.aggregate(
         hashes,
         F.array_repeat(F.lit(0), bits),
-        lambda acc, h: F.transform(acc, lambda c, i: c + F.when(F.shiftright(h, i).bitwiseAND(F.lit(1).cast("long")) == 1, 1).otherwise(-1)),
+        lambda acc, h: F.transform(acc, lambda c, i: c + F.when(F.call_function("shiftright", h, i).bitwiseAND(F.lit(1).cast("long")) == 1, 1).otherwise(-1)),
     )
-    return F.aggregate(F.transform(counts, lambda c, i: F.when(c > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x)
+    return F.aggregate(F.transform(counts, lambda c, i: F.when(c > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x)
 
 
 def minhash(tokens: Column, size: int = SIGNATURE) -> Column:
@@ -45,6 +47,11 @@ def minhash(tokens: Column, size: int = SIGNATURE) -> Column:
     The functions are linear maps modulo a prime of one hash a token, with
     factors that follow from the position by a rule.
     """
-    base = F.transform(tokens, lambda t: F.pmod(md5_60(t), F.lit(_PRIME)))
     factors = [((2 * i + 1) * 1_103_515_245 % _PRIME, (i + 1) * 12_345_701 % _PRIME) for i in range(size)]
-    return F.when(F.size(tokens) > 0, F.array(*[F.array_min(F.transform(base, lambda h, a=a, b=b: F.pmod(h * F.lit(a).cast("long") + F.lit(b).cast("long"), F.lit(_PRIME).cast("long")))) for a, b in factors]))
+    pairs = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in factors])
+
+    def least(base: Column) -> Column:
+        return F.transform(pairs, lambda f: F.array_min(F.transform(base, lambda h: F.pmod(h * f["a"] + f["b"], F.lit(_PRIME).cast("long")))))
+
+    base = F.transform(tokens, lambda t: F.pmod(md5_60(t), F.lit(_PRIME)))
+    return let(base, lambda b: F.when(F.size(b) > 0, least(b)))

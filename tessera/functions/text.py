@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WHITE = r"[\s\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{3000}]"
 #: Words that carry no meaning in a query; fixed values.
@@ -17,6 +19,11 @@ STOP_WORDS = (
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once; within a lambda an expression would be worked out for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def one_newline(c: Column) -> Column:
     return F.replace(c, F.lit("\r\n"), F.lit("\n"))
 
@@ -39,20 +46,21 @@ def chunks(c: Column, size: int = 1800, overlap: int = 250) -> Column:
     """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be less than size and not negative")
-    t = one_newline(c)
-    n = F.length(t)
     step = size - overlap
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - size) / step).cast("int")))
-    raw = F.transform(starts, lambda k: F.struct((k * step).alias("s"), F.substring(t, (k * step + 1).cast("int"), F.lit(size)).alias("w")))
-    cut = F.transform(
-        raw,
-        lambda r: F.struct(
-            (r["s"] + F.length(r["w"]) - F.length(F.regexp_replace(r["w"], rf"^{WHITE}+", ""))).cast("long").alias("char_start"),
-            strip(r["w"]).alias("content"),
-        ),
-    )
-    full = F.filter(cut, lambda r: F.length(r["content"]) > 0)
-    return F.transform(full, lambda r, i: F.struct(i.cast("int").alias("chunk_index"), r["char_start"].alias("char_start"), (r["char_start"] + F.length(r["content"])).cast("long").alias("char_end"), r["content"].alias("content")))
+
+    def cut(t: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.length(t) - size) / step).cast("int")))
+        raw = F.transform(starts, lambda k: F.struct((k * step).alias("s"), F.substring(t, (k * step + 1).cast("int"), F.lit(size)).alias("w")))
+        return F.transform(
+            raw,
+            lambda r: F.struct(
+                (r["s"] + F.length(r["w"]) - F.length(F.regexp_replace(r["w"], rf"^{WHITE}+", ""))).cast("long").alias("char_start"),
+                strip(r["w"]).alias("content"),
+            ),
+        )
+
+    full = F.filter(let(one_newline(c), cut), lambda r: F.length(r["content"]) > 0)
+    return F.when(c.isNotNull(), F.transform(full, lambda r, i: F.struct(i.cast("int").alias("chunk_index"), r["char_start"].alias("char_start"), (r["char_start"] + F.length(r["content"])).cast("long").alias("char_end"), r["content"].alias("content"))))
 
 
 def terms(c: Column) -> Column:
@@ -72,15 +80,22 @@ def word_count(c: Column) -> Column:
 
 def ngrams(tokens: Column, n: int = 3) -> Column:
     """All runs of ``n`` tokens, joined by blanks, each as often as it stands there; empty if there are fewer."""
-    at = F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))
+
+    def runs(w: Column) -> Column:
+        at = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.array_join(F.slice(w, i + 1, n), " "))
+
+    return let(tokens, runs)
 
 
 def shingles(c: Column, n: int = 5) -> Column:
     """The distinct runs of ``n`` words; the whole as one if there are fewer but some."""
-    w = words(c)
-    few = F.when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
-    return F.when(F.size(w) >= n, F.array_distinct(ngrams(w, n))).otherwise(few)
+
+    def runs(w: Column) -> Column:
+        few = F.when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
+        return F.when(F.size(w) >= n, F.array_distinct(ngrams(w, n))).otherwise(few)
+
+    return let(words(c), runs)
 
 
 def paragraphs(c: Column) -> Column:
@@ -91,7 +106,8 @@ def paragraphs(c: Column) -> Column:
 def unique_paragraphs(c: Column) -> Column:
     """The text with later repeats of a paragraph left out; case, signs and spaces don't tell two apart."""
     parts = F.transform(paragraphs(c), lambda p: F.struct(strip(p).alias("t"), F.trim(F.regexp_replace(F.lower(p), r"[^\p{L}\p{N}]+", " ")).alias("k")))
-    first = F.filter(parts, lambda p, i: (i == 0) | ~F.exists(F.slice(parts, F.lit(1), i), lambda q: q["k"] == p["k"]))
+    # the first place of each key, by one search in the list of keys
+    first = let(parts, lambda ps: let(F.transform(ps, lambda p: p["k"]), lambda ks: F.filter(ps, lambda p, i: F.array_position(ks, p["k"]) == i + 1)))
     return F.array_join(F.transform(first, lambda p: p["t"]), "\n\n")
 
 
@@ -131,14 +147,16 @@ def truncated(c: Column) -> Column:
 
 def strip_repeated_lines(c: Column, least: int = 5, longest: int = 80) -> Column:
     """The text without short lines that stand in it ``least`` times or more, unless they read like sentences."""
-    lines = F.split(one_newline(c), "\n")
-    key = lambda x: strip(x)
     content = lambda x: x.rlike(r"[.!?]$") & (F.size(F.split(x, r"\s+")) > 6)
-    often = F.map_filter(
-        F.aggregate(F.filter(F.transform(lines, key), lambda x: (F.length(x) > 0) & (F.length(x) <= longest)), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>")), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x), F.create_map(x, F.coalesce(F.try_element_at(m, x), F.lit(0)) + 1))),
-        lambda k, n: (n >= least) & ~content(k),
-    )
-    return F.array_join(F.filter(lines, lambda x: ~F.map_contains_key(often, key(x))), "\n")
+    short = lambda x: (F.length(x) > 0) & (F.length(x) <= longest)
+
+    def often(lines: Column) -> Column:
+        # sorted, so that a line that stands n times equals the one n - 1 places on
+        keys = F.array_sort(F.filter(F.transform(lines, strip), short))
+        hit = let(keys, lambda ks: F.filter(ks, lambda x, i: F.get(ks, i + (least - 1)) == x))
+        return F.filter(F.array_distinct(hit), lambda x: ~content(x))
+
+    return let(F.split(one_newline(c), "\n"), lambda lines: let(often(lines), lambda bad: F.array_join(F.filter(lines, lambda x: ~F.array_contains(bad, strip(x))), "\n")))
 
 
 def headings(c: Column, most: int = 200) -> Column:
@@ -149,7 +167,7 @@ def headings(c: Column, most: int = 200) -> Column:
     return F.slice(hit, 1, most)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """The composed Unicode form."""
     return s.map(lambda x: unicodedata.normalize("NFC", x) if x is not None else None)
@@ -164,7 +182,7 @@ def clean_unicode(c: Column) -> Column:
     return strip(F.regexp_replace(t, r"\n{4,}", "\n\n\n"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def repair_mojibake(s: pd.Series) -> pd.Series:
     """Text that was read in the wrong encoding read again, where that leaves fewer tell-tale signs."""
 

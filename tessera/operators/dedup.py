@@ -48,7 +48,7 @@ def near_pairs(df: DataFrame, key: str, text: str, words: int = WORDS, similar:
     prefix = ordered.withColumn("k", rank).join(alone, "rep", "left").where(F.col("k") + F.coalesce("alone", F.lit(0)) <= F.col("n") - F.ceil(F.col("n") * similar) + 1)
     prefix = materialize(prefix.select("rep", "n", "t"), "near-prefix")
     # sizes within a factor of `similar`: the same or the next step of a geometric scale
-    step = F.floor(F.log(F.lit(1 / similar), F.col("n"))).cast("int")
+    step = F.floor(F.log(1 / similar, F.col("n"))).cast("int")
     left = prefix.select(F.col("rep").alias("a"), F.col("n").alias("na"), "t", step.alias("z"))
     right = prefix.select(F.col("rep").alias("b"), F.col("n").alias("nb"), "t", F.explode(F.array(step - 1, step, step + 1)).alias("z"))
     cand = left.join(right, ["t", "z"]).where((F.col("a") < F.col("b")) & (F.col("nb") >= similar * F.col("na")) & (F.col("na") >= similar * F.col("nb"))).select("a", "b").distinct()

@@ -23,7 +23,7 @@ def components(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     t = one_newline(F.coalesce(F.col(text), F.lit("")))
     base = df.select(key, t.alias("t")).withColumn("n", F.length("t"))
-    lines = F.filter(F.transform(F.split("t", "\n"), F.trim), lambda x: F.length(x) > 0)
+    lines = F.filter(F.transform(F.split("t", "\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
     base = base.withColumn("w", word_count(F.col("t"))).withColumn("lines", lines)
     odd = F.regexp_count("t", F.lit(r"[\x{fffd}\x{0}-\x{8}\x{e}-\x{1f}]"))
     moji = F.regexp_count("t", F.lit("Ã|Â|â€"))

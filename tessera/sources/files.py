@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 #: First bytes of a file, in hexadecimal, and what they mean; fixed values.
@@ -21,7 +22,7 @@ _BLOCKS = {"p", "div", "section", "article", "li", "ul", "ol", "table", "tr", "b
 
 def text_files(spark: SparkSession, folder: str) -> DataFrame:
     """``(path, text)`` of all .txt, .md and .markdown files below a folder."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,md,markdown}").option("wholetext", True).text(folder)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,md,markdown}").text(folder, wholetext=True)
     return raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
@@ -36,7 +37,7 @@ def source_type(path: Column) -> Column:
 
 def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of JSON files, each a list or an object with ``entries``; files that aren't JSON give none."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("v"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("v"))
     both = raw.select("path", F.when(F.col("v").startswith("["), F.from_json("v", f"array<struct<{schema}>>")).otherwise(F.from_json("v", f"struct<entries: array<struct<{schema}>>>")["entries"]).alias("r"))
     return both.select("path", F.explode("r").alias("r")).select("path", "r.*")
 
@@ -44,7 +45,7 @@ def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def csv_catalogue(spark: SparkSession, path: str) -> DataFrame:
     """A catalogue in CSV; authors and subjects are split at semicolons."""
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    parts = lambda c: F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), ";"), F.trim), lambda x: x != "")
+    parts = lambda c: F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
     return raw.withColumns({c: parts(c) for c in ("Authors", "Subjects") if c in raw.columns})
 
 
@@ -54,7 +55,7 @@ def xml_records(spark: SparkSession, path: str, row_tag: str, schema: str) -> Da
     The check reads the files once more, as text, so that no entity is ever
     expanded.
     """
-    bad = spark.read.option("wholetext", True).text(path).where(F.col("value").rlike(r"<!(DOCTYPE|ENTITY)"))
+    bad = spark.read.text(path, wholetext=True).where(F.col("value").rlike(r"<!(DOCTYPE|ENTITY)"))
     if bad.limit(1).count():
         raise ValueError("a file declares a document type or entities")
     return spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
@@ -149,7 +150,7 @@ class _Text(html.parser.HTMLParser):
             self.out.append(data)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_text(s: pd.Series) -> pd.Series:
     """A page's text without its furniture; blocks on lines of their own."""
 
