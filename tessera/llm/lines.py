@@ -91,6 +91,8 @@ def repeated_lines(hit: DataFrame, providers: DataFrame, all_texts: int, min_tex
     )
     real = lambda c: F.col(c).cast("double")
     rest = F.greatest(F.lit(all_texts) - F.col("n_rep"), F.col("k0")).cast("double")
+    # where every text's provider repeats the line there is nothing outside: then it counts as unknown elsewhere
+    rest = F.when(rest > 0, rest).otherwise(F.lit(float(all_texts)))
     tested = counts.where("repeats").join(outside, "key").withColumn("log_p", log_p(real("texts"), real("of_texts"), real("k0"), rest))
     tested = materialize(tested.select("provider", "key", "texts", "of_texts", "log_p"), "lines-tested")
     # step-up: the largest chance that is at most rank / tests * fdr bounds all that count
