@@ -30,15 +30,15 @@ def pair_cluster_id(a: Column, b: Column) -> Column:
 def simhash(tokens: Column, bits: int = 60) -> Column:
     """The fingerprint whose bit is set where more tokens' hashes have it than not; 0 for no tokens.
 
-    One pass over the tokens' hashes with one counter a bit.
+    The hashes are worked out once; each bit counts them without building an array.
     """
-    hashes = F.transform(tokens, md5_60)
-    counts = F.aggregate(
-        hashes,
-        F.array_repeat(F.lit(0), bits),
-        lambda acc, h: F.transform(acc, lambda c, i: c + F.when(F.call_function("shiftright", h, i).bitwiseAND(F.lit(1).cast("long")) == 1, 1).otherwise(-1)),
-    )
-    return F.aggregate(F.transform(counts, lambda c, i: F.when(c > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x)
+    one = F.lit(1).cast("long")
+
+    def print_of(hashes: Column) -> Column:
+        ones = lambda i: F.aggregate(hashes, F.lit(0), lambda s, h: s + F.call_function("shiftright", h, i).bitwiseAND(one).cast("int"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), F.lit(0).cast("long"), lambda acc, i: acc + F.when(ones(i) * 2 > F.size(hashes), F.call_function("shiftleft", one, i)).otherwise(F.lit(0).cast("long")))
+
+    return let(F.transform(tokens, md5_60), print_of)
 
 
 def minhash(tokens: Column, size: int = SIGNATURE) -> Column:

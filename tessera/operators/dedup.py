@@ -22,10 +22,10 @@ def exact_classes(df: DataFrame, key: str, text: str) -> DataFrame:
     return own.join(sums, "h").select(key, "class_id", "copies")
 
 
-def _representatives(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """One row for each distinct set of shingles: the least key, the set, and how many rows have it."""
-    sets = df.select(key, F.array_sort(shingles(F.col(text), words)).alias("s")).where(F.size("s") > 0)
-    return sets.groupBy(F.sha2(F.array_join("s", "\u0001"), 256).alias("h")).agg(F.min(key).alias("rep"), F.first("s").alias("s"), F.count("*").alias("copies"))
+def _sets(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """``(key, h, s)``: the set of shingles of each text that has words, as sorted 64-bit hashes, and the set's own hash."""
+    s = F.transform(shingles(F.col(text), words), lambda x: F.xxhash64(x))
+    return df.select(key, F.array_sort(s).alias("s")).where(F.size("s") > 0).withColumn("h", F.sha2(F.array_join("s", ","), 256))
 
 
 def near_pairs(df: DataFrame, key: str, text: str, words: int = WORDS, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
@@ -36,16 +36,17 @@ def near_pairs(df: DataFrame, key: str, text: str, words: int = WORDS, similar:
     shingles must share one in their prefixes, so none is lost. A shingle's
     list of sets is split by size, since a similar set is about as large.
     """
-    reps = materialize(_representatives(df, key, text, words), "near-reps")
-    sets = df.select(key, F.sha2(F.array_join(F.array_sort(shingles(F.col(text), words)), "\u0001"), 256).alias("h"))
-    members = sets.join(reps.select("h", F.col("rep").alias("class_id")), "h").select(key, "class_id")
-    each = reps.select("rep", F.size("s").alias("n"), F.explode("s").alias("t")).select("rep", "n", F.xxhash64("t").alias("t"))
+    sets = materialize(_sets(df, key, text, words), "near-sets")
+    reps = materialize(sets.groupBy("h").agg(F.min(key).alias("rep"), F.first("s").alias("s")), "near-reps")
+    members = sets.select(key, "h").join(reps.select("h", F.col("rep").alias("class_id")), "h").select(key, "class_id")
+    each = reps.select("rep", F.size("s").alias("n"), F.explode("s").alias("t"))
     often = each.groupBy("t").agg(F.count("*").alias("f"))
-    ordered = each.join(often, "t").where("f > 1 or n = 1")
+    # a shingle of one set only can't be shared, but takes its place in the prefix
+    ordered = each.join(often.where("f > 1"), "t")
     # of n shingles, all but ceil(similar * n) - 1 make the prefix
     rank = F.row_number().over(Window.partitionBy("rep").orderBy("f", "t"))
-    alone = each.join(often, "t").where("f = 1").groupBy("rep").agg(F.count("*").alias("alone"))
-    prefix = ordered.withColumn("k", rank).join(alone, "rep", "left").where(F.col("k") + F.coalesce("alone", F.lit(0)) <= F.col("n") - F.ceil(F.col("n") * similar) + 1)
+    shared_by = F.count("*").over(Window.partitionBy("rep"))
+    prefix = ordered.withColumn("k", rank).withColumn("shared", shared_by).where(F.col("k") + (F.col("n") - F.col("shared")) <= F.col("n") - F.ceil(F.col("n") * similar) + 1)
     prefix = materialize(prefix.select("rep", "n", "t"), "near-prefix")
     # sizes within a factor of `similar`: the same or the next step of a geometric scale
     step = F.floor(F.log(1 / similar, F.col("n"))).cast("int")
