@@ -125,20 +125,26 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_CHARS) -> Itera
             yield batch.slice(a, b - a)
 
 
-def token_counts(df: DataFrame, key: str, text: str, vocab: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
-    """``df`` without ``text``, with ``n_tokens`` of it; null and empty texts have 0.
+def token_counts_by(df: DataFrame, text: str, vocabs: dict[str, str], folder: str | None = None) -> DataFrame:
+    """``df`` without ``text``, with the tokens of it by each vocabulary; ``vocabs`` names the columns.
 
-    ``key`` and all other columns pass through. Nothing is shuffled.
+    Null and empty texts have 0; all other columns pass through. Nothing is
+    shuffled, and the texts go to Python once for all vocabularies.
     """
-    if "n_tokens" in df.columns:
-        raise ValueError("the input has a column n_tokens already")
+    if taken := set(vocabs) & set(df.columns):
+        raise ValueError(f"the input has columns of the result already: {sorted(taken)}")
     rest = [c for c in df.columns if c != text]
-    schema = T.StructType([*[df.schema[c] for c in rest], T.StructField("n_tokens", T.LongType())])
+    schema = T.StructType([*[df.schema[c] for c in rest], *[T.StructField(n, T.LongType()) for n in vocabs]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
-                n = counter(vocab, folder).count(part.column(text))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], pa.array(n)], names=[*rest, "n_tokens"])
+                counts = [pa.array(counter(v, folder).count(part.column(text))) for v in vocabs.values()]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], *counts], names=[*rest, *vocabs])
 
     return df.select(*rest, text).mapInArrow(run, schema)
+
+
+def token_counts(df: DataFrame, key: str, text: str, vocab: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
+    """``df`` without ``text``, with ``n_tokens`` of it by one vocabulary; see :func:`token_counts_by`."""
+    return token_counts_by(df, text, {"n_tokens": vocab}, folder)
