@@ -84,7 +84,7 @@ class Engine:
         return analytics.cooccurrence(self.table("corpus_items").select("document_id", F.explode("subjects").alias("s")), "s", "document_id")
 
     def quality(self) -> DataFrame:
-        return quality.score(quality.components(self.table("documents"), "doc_id", "text"))
+        return quality.score(quality.components(self.table("documents"), "doc_id", "text", "lang", "doc_type"))
 
     def languages(self) -> DataFrame:
         return language.by_function_words(self.table("documents"), "doc_id", "text")

@@ -148,7 +148,8 @@ def lng_function_words(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def qlt_score(spark: SparkSession, d: str) -> DataFrame:
-    return quality.score(quality.components(_docs(spark, d), "doc_id", "text")).select("doc_id", micro("score").alias("score"), F.array_join("issues", ",").alias("issues"))
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "doc_type")
+    return quality.score(quality.components(docs, "doc_id", "text", "lang", "doc_type")).select("doc_id", micro("score").alias("score"), F.array_join("issues", ",").alias("issues"))
 
 
 @query(r"""SELECT doc_id, length(t) AS chars, len(regexp_extract_all(t, '[\p{L}\p{N}_]+')) AS words, len(regexp_extract_all(t, '\p{L}')) AS letters, len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t\r]'))) AS lines
