@@ -66,7 +66,7 @@ class Engine:
         return relational.as_of(states, "id", "created_at", "created_at", F.lit(cutoff).cast("timestamp_ntz"))
 
     def evaluate_fragments(self) -> DataFrame:
-        return evaluate.evaluated(self.table("cycles").select("id", "fragment").distinct(), "fragment")
+        return evaluate.evaluated_cycles(self.table("cycles"))
 
     def lineage(self, most: int = 3) -> DataFrame:
         """Ancestors of every record within some steps."""

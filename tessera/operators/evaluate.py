@@ -10,6 +10,11 @@ from ..functions.text import ngrams, occurrences, paragraphs, truncated, word_co
 #: Words whose density counts; fixed values.
 SYMBOLS = ("archive", "oracle", "ledger", "canon", "witness", "seal", "furnace", "bell", "lantern", "ash", "rust", "marsh", "statute", "tribunal", "alphabet")
 
+#: Phrases that any text might have; fixed values.
+GENERIC = ("digital ashes", "ghost in the machine", "cyberspace", "vast tapestry", "ancient forces", "in the shadows")
+#: How many of the last texts count for loops.
+WINDOW = 20
+
 
 def density(c: Column) -> Column:
     """Occurrences of the symbols for each word, times 20, 1 at most."""
@@ -28,14 +33,45 @@ def structure_score(c: Column) -> Column:
     return F.when(p >= 3, 1.0).when(p == 2, 0.8).when(p == 1, 0.4).otherwise(0.0)
 
 
-def evaluated(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with ``density``, ``length_score``, ``structure``, ``cut_off`` and their weighted ``quality``."""
+def generic(c: Column) -> Column:
+    """A quarter for each of the generic phrases that stands in the text, 1 at most."""
+    return F.least(F.lit(1.0), sum((F.contains(F.lower(c), F.lit(p)).cast("int") for p in GENERIC), F.lit(0)) / 4.0)
+
+
+def stuffing(c: Column, labels: Column) -> Column:
+    """A quarter of the labels (categories and groups) named for each 80 words, 1 at most; 0 without labels."""
+    names = F.filter(F.transform(labels, lambda x: F.replace(F.lower(x), F.lit("_"), F.lit(" "))), lambda x: F.length(x) > 0)
+    hits = F.size(F.filter(names, lambda x: F.contains(F.lower(c), x)))
+    return F.when(labels.isNull(), 0.0).otherwise(F.least(F.lit(1.0), hits / F.greatest(F.lit(1.0), word_count(c) / 80.0) / 4.0))
+
+
+def evaluated(df: DataFrame, text: str, response: str | None = None, labels: str | None = None, loop: str | None = None) -> DataFrame:
+    """``df`` with ``density``, ``length_score``, ``structure``, ``cut_off``, ``generic``, ``stuffing`` and their weighted ``quality``.
+
+    Generic phrases are looked for in the column ``response``, the whole that
+    was written, if there is one. ``labels`` has the categories and groups
+    that were asked for, ``loop`` what :func:`loop_penalty` takes off; without
+    them nothing is taken off.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
+    whole = F.coalesce(F.col(response), F.lit("")) if response else t
+    named = F.col(labels) if labels else F.lit(None).cast("array<string>")
+    looped = F.coalesce(F.col(loop), F.lit(0.0)) if loop else F.lit(0.0)
     out = df.withColumn("density", density(t)).withColumn("length_score", length_score(t)).withColumn("structure", structure_score(t)).withColumn("cut_off", truncated(t))
+    out = out.withColumn("generic", generic(whole)).withColumn("stuffing", stuffing(t, named))
     total = (0.182 * F.col("density") + 0.272 * F.col("length_score") + 0.182 * F.col("structure")) / 0.636 - F.when(F.col("cut_off"), 0.35).otherwise(0.0)
+    total = total - 0.15 * F.col("stuffing") - 0.10 * F.col("generic") - looped
     return out.withColumn("quality", F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)))
 
 
+def evaluated_cycles(cycles: DataFrame) -> DataFrame:
+    """The fragments of ``cycles``, evaluated with the loops among the last of them; exact repeats count once."""
+    f = cycles.select("id", "fragment", "response", "created_at").distinct()
+    own = f.where("fragment is not null")
+    loops = loop_penalty(own, "id", "fragment", motif_counts(own.select("id", "fragment", "created_at").distinct(), "id", "created_at", "fragment", WINDOW), WINDOW)
+    return evaluated(f.join(loops.groupBy("id").agg(F.max("penalty").alias("loop")), "id", "left"), "fragment", "response", loop="loop")
+
+
 def motif_counts(df: DataFrame, key: str, order: str, text: str, window: int) -> DataFrame:
     """``(ngram, n)``: in how many of the last ``window`` texts each run of three words stands."""
     last = df.orderBy(F.desc(order), F.desc(key)).limit(window)

@@ -168,8 +168,7 @@ def qlt_entropy(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def evl_fragments(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "cycles").select("id", "fragment").distinct()
-    return evaluate.evaluated(f, "fragment").select("id", micro("density").alias("density"), micro("length_score").alias("length_score"), micro("structure").alias("structure"), "cut_off", micro("quality").alias("quality"))
+    return evaluate.evaluated_cycles(table(spark, d, "cycles")).select("id", micro("density").alias("density"), micro("length_score").alias("length_score"), micro("structure").alias("structure"), "cut_off", micro("quality").alias("quality"))
 
 
 @query("""WITH l AS (SELECT DISTINCT id, fragment, created_at FROM cycles WHERE fragment IS NOT NULL ORDER BY created_at DESC, id DESC LIMIT 20), f AS (SELECT id, regexp_extract_all(lower(fragment), '[a-z0-9'']+') w FROM l),
