@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def total(df: DataFrame, value: str, name: str) -> DataFrame:
+    """One row with the sum of ``value``; 0 if there are no rows or only nulls."""
+    return df.agg(F.coalesce(F.sum(value), F.lit(0)).alias(name))
+
+
 def all_of(*predicates: Column | None) -> Column:
     """The conjunction of those given; true for none."""
     return reduce(lambda a, b: a & b, [p for p in predicates if p is not None], F.lit(True))

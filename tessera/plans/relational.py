@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.portable import cents, micro
-from ..operators.relational import all_of, as_of, as_of_join, cascade, first_per_group, insert_or_ignore, min_max, nth_of_sorted, numbered_runs, page, shares, upsert, upsert_keeping
-from ..sources.tables import table
+from ..operators.relational import all_of, as_of, as_of_join, cascade, first_per_group, insert_or_ignore, min_max, nth_of_sorted, numbered_runs, page, shares, total, upsert, upsert_keeping
+from ..sources.tables import latest, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -181,6 +181,13 @@ def agg_sum_or_zero(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "corpus_candidates").where("state = 'NO_SUCH_STATE'").agg(F.coalesce(F.sum("estimated_bytes"), F.lit(0)).alias("bytes"))
 
 
+@query("""SELECT CAST(coalesce(sum(estimated_bytes), 0) AS BIGINT) AS bytes FROM
+(SELECT estimated_bytes, row_number() OVER (PARTITION BY candidate_id ORDER BY updated_at DESC NULLS LAST, estimated_bytes DESC NULLS LAST) k FROM corpus_candidates WHERE candidate_id IS NOT NULL) WHERE k = 1""")
+def agg_total_bytes(spark: SparkSession, d: str) -> DataFrame:
+    # of each candidate the current version
+    return total(latest(table(spark, d, "corpus_candidates"), "candidate_id", keep=["updated_at", "estimated_bytes"]), "estimated_bytes", "bytes")
+
+
 @query("""WITH s AS (SELECT domain, count(*) AS weight FROM documents WHERE domain IS NOT NULL GROUP BY 1)
 SELECT domain, weight, CAST(floor(weight / (SELECT sum(weight) FROM s) * 1e6 + 0.5) AS BIGINT) AS share FROM s ORDER BY weight DESC, domain LIMIT 20""")
 def agg_shares(spark: SparkSession, d: str) -> DataFrame:
