@@ -1,8 +1,7 @@
 """Parent-child links of unknown depth: roots, depths, paths, descendants and circles.
 
 Nodes are peeled from the bottom. A node without children left is a leaf: it
-sends its list of descendants and the size of its subtree to its parents and
-leaves the graph. In reverse order of peeling, every node then gets from its
+sends its list of descendants to its parents and leaves the graph. In reverse order of peeling, every node then gets from its
 parents, which went after it, its roots, depth and path. What is never peeled
 holds a circle or stands above one.
 
