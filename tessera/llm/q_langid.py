@@ -2,20 +2,34 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from ..sources.tables import clean_id, table
 from .labels import label_language
-from .langid import MIN_RUN, MIN_TEXT, Network, sample, segments, train
+from .langid import LANGUAGES, MIN_RUN, MIN_TEXT, Network, sample, segments, train
+
+_FITTED: dict[str, Network] = {}
+_EVIDENCE = [f"e_{x}" for x in LANGUAGES]
 
 
 def fitted(spark: SparkSession, sf_dir: str) -> Network:
-    """The network, trained on a bounded sample of the labelled documents and golden texts."""
+    """The network, trained on a bounded sample of the labelled documents and golden texts.
+
+    It follows from the sample alone, so queries of one session that draw the
+    same sample train it once.
+    """
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key"), "text", label_language(F.col("lang")).alias("lang"))
     golden = table(spark, sf_dir, "golden_classification").select(F.concat(F.lit("g"), "id").alias("key"), "text", label_language(F.col("language")).alias("lang"))
-    return train(*sample(docs.unionByName(golden), "key", "text", F.col("lang")))
+    texts, labels = sample(docs.unionByName(golden), "key", "text", F.col("lang"))
+    digest = hashlib.sha256(repr((texts, labels)).encode("utf-8", "replace")).hexdigest()
+    if digest not in _FITTED:
+        _FITTED.clear()
+        _FITTED[digest] = train(texts, labels)
+    return _FITTED[digest]
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
@@ -58,7 +72,8 @@ def read_all(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         found = seg if found is None else found.unionByName(seg)
         named = own if named is None else named.unionByName(own)
     # only what was found is moved, and repeated rows repeat it exactly
-    seen = found.groupBy("kind", "record_id", "part", "segment_no").agg(F.max(F.struct("chars", "char_start", "char_end", "heard", "language", "confidence")).alias("s")).select("kind", "record_id", "part", "segment_no", "s.*")
+    facts = F.struct("chars", "char_start", "char_end", "heard", "language", "confidence", *_EVIDENCE)
+    seen = found.groupBy("kind", "record_id", "part", "segment_no").agg(F.max(facts).alias("s")).select("kind", "record_id", "part", "segment_no", "s.*")
     return materialize(seen, "language-segments"), named
 
 
@@ -77,14 +92,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record with its language and a confidence; both null where it has no text with words.
 
-    The confidence is the share of the text's evidence that speaks for the
-    language.
+    The probabilities of all positions of the record's texts are pooled: the
+    language is the one that gets most, the confidence its share. Of equal
+    ones the first in order counts.
     """
     seen, named = read_all(spark, sf_dir)
-    mass = seen.groupBy("kind", "record_id", "language").agg(F.sum(F.col("heard") * F.col("confidence")).alias("m"), F.sum("heard").alias("h"))
-    best = mass.groupBy("kind", "record_id").agg(F.max(F.struct("m", "language")).alias("b"), F.sum("h").alias("h"))
-    out = named.distinct().join(best, ["kind", "record_id"], "left")
-    return out.select("kind", "record_id", "label", F.col("b.language").alias("language"), (F.col("b.m") / F.col("h")).alias("confidence"))
+    # rounded once summed, so that the order of the parts doesn't show
+    sums = seen.groupBy("kind", "record_id").agg(*[F.round(F.sum(c), 3).alias(c) for c in _EVIDENCE])
+    best = F.greatest(*_EVIDENCE)
+    code = F.coalesce(*[F.when(F.col(c) == best, F.lit(x)) for c, x in zip(_EVIDENCE, LANGUAGES)])
+    total = sum((F.col(c) for c in _EVIDENCE[1:]), F.col(_EVIDENCE[0]))
+    pooled = sums.select("kind", "record_id", F.when(total > 0, code).alias("language"), F.when(total > 0, F.round(best / total, 6)).alias("confidence"))
+    return named.distinct().join(pooled, ["kind", "record_id"], "left").select("kind", "record_id", "label", "language", "confidence")
 
 
 def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
