@@ -1,33 +1,35 @@
 """Parent-child links of unknown depth: roots, depths, paths, descendants and circles.
 
 Nodes are peeled from the bottom. A node without children left is a leaf: it
-sends its list of descendants to its parents and leaves the graph. In reverse order of peeling, every node then gets from its
-parents, which went after it, its roots, depth and path. What is never peeled
-holds a circle or stands above one.
-
-A round of peeling is a semi-join and an anti-join over the links that are
-left, all of it spread over the cluster. Deep and thin remains would need as
-many rounds as they have levels, so that links which no longer exceed
-``local_links`` (a bound on the task's memory, not on the result) are peeled to
-the end by the same rules within one task.
+leaves the graph with its links. In reverse order of peeling, every node then
+gets from its parents, which went after it, its roots, depth and the parent its
+path goes through. What is never peeled holds a circle or stands above one.
+
+Every round is a few joins over the links that are left, spread over the
+cluster; no task gets more than its share. Peeling alone needs a round for each
+level. So whenever a round takes less than ``SLOW`` of the links, runs of nodes
+with one child and one parent each are contracted to one link: each node of a
+run finds its end by pointers that leap four times as far each time. A chain of
+a million links is gone after ten leaps.
+
+A path is as long as its node is deep, so paths are put together only where
+they are asked for, from the parents the nodes point to, again by leaps.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import Growing, materialize
 
 LOOP = "loop"
-LOCAL_LINKS = 50_000
+#: Rounds of peeling that take a smaller share of the links left are followed by a contraction of runs.
+SLOW = 0.25
 
-_FACTS = "node string, root string, hops long, path array<string>, looped boolean"
-_PAIRS = "ancestor string, node string"
+_LINK = ("child", "parent", "w", "via")
 
 
 def clean_links(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -36,212 +38,166 @@ def clean_links(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return links.select("child", "parent").where("child is not null and parent is not null").distinct().join(known, "parent", "left_semi").select("child", "parent")
 
 
-def peel_links(links: DataFrame, local_links: int = LOCAL_LINKS) -> tuple[list[DataFrame], DataFrame, int]:
-    """Rounds of ``(child, parent)`` whose child was a leaf then, and the links left.
+def _unary(rest: DataFrame) -> DataFrame:
+    """``(v, t, d, via)``: nodes with one link down and one link up, to another node."""
+    up = rest.groupBy(F.col("child").alias("v")).agg(F.count("*").alias("n"), F.first("parent").alias("t"), F.first("w").alias("d"), F.first("via").alias("via")).where("n = 1 and t != v").drop("n")
+    down = rest.groupBy(F.col("parent").alias("v")).agg(F.count("*").alias("n")).where("n = 1").select("v")
+    return up.join(down, "v", "left_semi")
 
-    Stops when at most ``local_links`` links are left or a round finds no
-    leaf, which means that all that is left is circles and what is above them.
-    """
-    rest = materialize(links, "peel-rest")
-    left, rounds = rest.count(), []
-    while left > local_links:
-        inner = rest.select(F.col("parent").alias("child")).distinct()
-        leaves = materialize(rest.join(inner, "child", "left_anti"), "peel-round")
-        went = leaves.count()
-        if not went:
-            break
-        rounds.append(leaves)
-        rest = materialize(rest.join(inner, "child", "left_semi"), "peel-rest")
-        left -= went
-    return rounds, rest, left
-
-
-def _order(links: list[tuple[str, str]]) -> tuple[list[str], dict[str, list[str]], dict[str, list[str]]]:
-    """Nodes in the order in which they are peeled from the bottom, parents and children of each."""
-    up, down = defaultdict(list), defaultdict(list)
-    for child, parent in links:
-        up[child].append(parent)
-        down[parent].append(child)
-    left = {n: len(down.get(n, ())) for n in {*up, *down}}
-    order = sorted(n for n, k in left.items() if not k)
-    for node in order:
-        for parent in up.get(node, ()):
-            left[parent] -= 1
-            if not left[parent]:
-                order.append(parent)
-    return order, up, down
-
-
-def _local_facts(links: list[tuple[str, str]]) -> Iterator[tuple[str, str | None, int | None, list[str] | None, bool]]:
-    """``(node, root, hops, path, looped)`` for each node and root above it within ``links``."""
-    order, up, down = _order(links)
-    peeled = set(order)
-    core = {n for n in up.keys() | down.keys()} - peeled
-    roots: dict[str, dict[str, tuple[int, list[str]]]] = defaultdict(dict)
-    looped: set[str] = set()
-
-    def settle(node: str) -> bool:
-        """Take over what the parents know; true if that was news."""
-        mine, news = roots[node], False
-        if not up.get(node):
-            if node not in mine:
-                mine[node], news = (0, [node]), True
-            return news
-        for parent in up[node]:
-            for root, (hops, path) in roots.get(parent, {}).items():
-                offer = (hops + 1, [*path, node])
-                if root not in mine or offer < mine[root]:
-                    mine[root], news = offer, True
-            if parent in looped and node not in looped:
-                looped.add(node)
-                news = True
-        return news
-
-    # from the top, as far as that goes within the core: these stand above the circles
-    waiting = {n: len(up.get(n, ())) for n in core}
-    ready = sorted(n for n, k in waiting.items() if not k)
-    for node in ready:
-        settle(node)
-        for child in down.get(node, ()):
-            if child in waiting:
-                waiting[child] -= 1
-                if not waiting[child]:
-                    ready.append(child)
-    stuck = core - set(ready)
-    looped |= stuck  # each has a parent that is stuck too, so a path upwards from it never ends
-    todo = sorted(stuck)
-    while todo:
-        news = [n for n in todo if settle(n)]
-        todo = sorted({c for n in news for c in down.get(n, ()) if c in stuck})
-    for node in reversed(order):
-        settle(node)
-    for node in up.keys() | down.keys():
-        found = roots.get(node, {})
-        for root, (hops, path) in sorted(found.items()):
-            yield node, root, hops, path, node in looped
-        if not found:
-            yield node, None, None, None, node in looped
-
-
-def _facts_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    links = [(c, p) for b in batches for c, p in zip(b["child"], b["parent"])]
-    rows = list(_local_facts(links))
-    if rows:
-        out = pd.DataFrame(rows, columns=["node", "root", "hops", "path", "looped"])
-        out["hops"] = out["hops"].astype("Int64")
-        yield out
-
-
-def _pairs_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    links = [(c, p) for b in batches for c, p in zip(b["child"], b["parent"])]
-    order, up, down = _order(links)
-    below: dict[str, set[str]] = {}
-    for node in order:  # leaves first: the lists of all children are complete
-        below[node] = {x for c in down.get(node, ()) for x in (c, *below[c])}
-    core = (up.keys() | down.keys()) - below.keys()
-    for node in core:
-        seen, todo = set(), list(down.get(node, ()))
-        while todo:
-            x = todo.pop()
-            if x in below:
-                seen.add(x)
-                seen |= below[x]
-            elif x not in seen:
-                seen.add(x)
-                todo += down.get(x, ())
-        below[node] = seen
-    for node, seen in below.items():
-        if seen:
-            yield pd.DataFrame({"ancestor": node, "node": sorted(seen)})
-
-
-def _spread_facts(links: DataFrame) -> DataFrame:
-    """The facts of links among which no leaf is left and which are too many for one task.
-
-    Passed down from the top until no row is new, spread over the cluster.
-    """
-    parents = links.select(F.col("parent").alias("node")).distinct()
-    tops = parents.join(links.select(F.col("child").alias("node")).distinct(), "node", "left_anti")
-    # what a path from above reaches without passing a circle leaves from the top as well
-    rest, above = links, []
+
+def _leap(ptr: DataFrame) -> DataFrame:
+    """Each pointer moved on up to four times as far; ``open`` where it still points to a node of a run."""
+    out = ptr.select("v", "t", "d", "via")
+    for i in range(3):
+        step = ptr.select(F.col("v").alias("t"), F.col("t").alias("t2"), F.col("d").alias("d2"))
+        out = out.join(step, "t", "left").select("v", F.coalesce("t2", "t").alias("t"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d"), "via", F.col("t2").isNotNull().alias("open"))
+        if i < 2:
+            out = out.drop("open")
+    return out
+
+
+def _contract(rest: DataFrame) -> tuple[DataFrame | None, DataFrame | None, DataFrame]:
+    """``(gone, rings, rest)``: links of the nodes of runs to their runs' ends, links of circles that nothing hangs on, and the links left without both."""
+    ptr, before = _unary(rest), None
     while True:
-        top = rest.select(F.col("parent").alias("node")).distinct().join(rest.select(F.col("child").alias("node")).distinct(), "node", "left_anti")
-        gone = materialize(rest.join(top.withColumnRenamed("node", "parent"), "parent", "left_semi"), "core-top")
-        if not gone.count():
+        ptr = materialize(_leap(ptr), "peel-runs")
+        seen = ptr.agg(F.count("*"), F.count_if("open")).collect()[0]
+        # a run's nodes come to its end one after another; those of a circle never do
+        if not seen[1] or seen[1] == before:
             break
-        above.append(gone)
-        rest = materialize(rest.join(top.withColumnRenamed("node", "parent"), "parent", "left_anti"), "core-rest")
-    looped = rest.select(F.col("child").alias("node")).distinct().withColumn("looped", F.lit(True))
-    start = tops.select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("hops"), F.array("node").alias("path"))
-    facts = new = materialize(start, "core-facts")
+        before = seen[1]
+    if not seen[0]:
+        return None, None, rest
+    gone = ptr.where("not open").select(F.col("v").alias("child"), F.col("t").alias("parent"), F.col("d").alias("w"), "via")
+    end = ptr.select(F.col("v").alias("parent"), F.when(~F.col("open"), F.col("t")).alias("t"), "d")
+    moved = rest.join(ptr.select(F.col("v").alias("child")), "child", "left_anti").join(end, "parent", "left")
+    moved = moved.select("child", F.coalesce("t", "parent").alias("parent"), (F.col("w") + F.coalesce("d", F.lit(0))).alias("w"), "via")
+    # two ways between the same nodes: the shorter one, then the one that sorts first
+    moved = moved.groupBy("child", "parent").agg(F.min(F.struct("w", "via")).alias("l")).select("child", "parent", "l.*")
+    rings = rest.join(ptr.where("open").select(F.col("v").alias("child")), "child", "left_semi") if seen[1] else None
+    return gone if seen[0] > seen[1] else None, rings, materialize(moved, "peel-rest")
+
+
+def peel_links(links: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Stages of links ``(child, parent, w, via)`` whose child left the graph then, and the links never peeled.
+
+    ``w`` is the number of hops a link stands for, ``via`` the true parent it
+    begins with. The parents of a stage leave in a later one, or never.
+    """
+    rest = links.select("child", "parent", F.lit(1).cast("long").alias("w"), F.col("parent").alias("via"))
+    stages, apart, left = [], [], None
     while True:
-        reached = links.join(new.withColumnRenamed("node", "parent"), "parent").select(F.col("child").alias("node"), "root", (F.col("hops") + 1).alias("hops"), F.concat("path", F.array("child")).alias("path"))
-        best = reached.groupBy("node", "root").agg(F.min(F.struct("hops", "path")).alias("b")).select("node", "root", "b.*")
-        new = materialize(best.join(facts.select("node", "root"), ["node", "root"], "left_anti"), "core-new")
-        if not new.count():
+        inner = rest.select(F.col("parent").alias("child")).distinct().withColumn("stays", F.lit(True))
+        both = materialize(rest.join(inner, "child", "left").select(*_LINK, F.coalesce("stays", F.lit(False)).alias("stays")), "peel-round")
+        seen = both.agg(F.count("*"), F.count_if("stays")).collect()[0]
+        rest, left, went = both.where("stays").select(*_LINK), seen[1], seen[0] - seen[1]
+        if went:
+            stages.append(both.where("not stays").select(*_LINK))
+        if left and went < SLOW * seen[0]:
+            gone, rings, rest = _contract(rest)
+            if gone is not None:
+                stages.append(gone.select(*_LINK))
+            if rings is not None:
+                apart.append(rings.select(*_LINK))
+            if gone is None and rings is None and not went:
+                break
+        if not left:
             break
-        facts = materialize(facts.unionByName(new), "core-facts")
-    every = links.select(F.explode(F.array("child", "parent")).alias("node")).distinct()
-    return every.join(facts, "node", "left").join(looped, "node", "left").select("node", "root", "hops", "path", F.coalesce("looped", F.lit(False)).alias("looped"))
+    return stages, reduce(DataFrame.unionByName, [rest.select(*_LINK), *apart])
+
 
+def _nodes(links: DataFrame, *ends: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, [links.select(F.col(e).alias("node")) for e in ends]).distinct()
 
-def hierarchy(links: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
-    """``(node, root, hops, path, looped)`` for every node that has a link.
+
+def _offers(links: DataFrame, facts: DataFrame) -> DataFrame:
+    """What parents hand down: ``(node, root, hops, via)``, the shortest way to each root once; a circle counts as a root without a name."""
+    down = links.join(facts.select(F.col("node").alias("parent"), "root", "hops"), "parent")
+    down = down.select(F.col("child").alias("node"), "root", F.when(F.col("root").isNotNull(), F.struct((F.col("hops") + F.col("w")).alias("hops"), "via")).alias("b"))
+    return down.groupBy("node", "root").agg(F.min("b").alias("b")).select("node", "root", "b.*")
+
+
+def _core_facts(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """The facts of links among which no leaf is left: circles and what stands above them."""
+    # what stands above all circles goes from the top; whatever is left then has a parent that is left, so its ways up never end
+    rest, before = links, None
+    while True:
+        stays = _nodes(rest, "child").withColumnRenamed("node", "parent")
+        rest = materialize(rest.join(stays, "parent", "left_semi").select(*_LINK), "core-rest")
+        now = rest.count()
+        if now == before:
+            break
+        before = now
+    looped = _nodes(rest, "child").select("node", F.lit(None).cast("string").alias("root"), F.lit(None).cast("long").alias("hops"), F.lit(None).cast("string").alias("via"))
+    # ways from the tops, improved until none gets shorter
+    here = roots.join(_nodes(links, "parent"), "node", "left_semi")
+    facts = materialize(here.withColumn("news", F.lit(True)), "core-facts")
+    while not facts.where("news").isEmpty():
+        old = facts.select("node", "root", F.struct("hops", "via").alias("b"), F.lit(True).alias("old"))
+        new = _offers(links, facts.where("news")).select("node", "root", F.struct("hops", "via").alias("b"), F.lit(False).alias("old"))
+        best = old.unionByName(new).groupBy("node", "root").agg(F.min("b").alias("b"), F.min(F.when(F.col("old"), F.col("b"))).alias("o"))
+        facts = materialize(best.select("node", "root", "b.*", (F.col("o").isNull() | (F.col("b") < F.col("o"))).alias("news")), "core-facts")
+    return facts.join(here.select("node"), "node", "left_anti").select("node", "root", "hops", "via").unionByName(looped)
+
+
+def hierarchy(links: DataFrame) -> DataFrame:
+    """``(node, root, hops, via)`` for every node that has a link.
 
     ``links`` has ``child`` and ``parent``, both known nodes, each pair once
-    (see :func:`clean_links`). One row for each root above a node, ``hops`` and
-    ``path`` being those of the shortest way down from it (of equal ones, the
-    one whose names sort first); a root has itself, with no hop. ``looped`` is
-    set where a way upwards runs into a circle; a node that has no root at all
-    has one row with nulls. An empty table gives an empty result.
+    (see :func:`clean_links`). One row for each root above a node; ``hops`` is
+    the length of the shortest way to it and ``via`` the parent it goes
+    through (of equal ones the one that sorts first). A root has itself, with
+    no hop and no ``via``. Where a way upwards runs into a circle there is a
+    row with nulls, beside those of the roots, if any. An empty table gives an
+    empty result.
     """
-    rounds, rest, left = peel_links(links, local_links)
-    if left <= local_links:
-        known = rest.coalesce(1).mapInPandas(_facts_task, _FACTS)
-    else:
-        known = _spread_facts(rest)
-    known = materialize(known, "peel-facts")
-    for leaves in reversed(rounds):
-        # a parent of this round that nobody knows has no links left above it: it is a root
-        parents = leaves.select(F.col("parent").alias("node")).distinct()
-        tops = parents.join(known.select("node").distinct(), "node", "left_anti").select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("hops"), F.array("node").alias("path"), F.lit(False).alias("looped"))
-        above = materialize(known.unionByName(tops), "peel-above")
-        down = leaves.join(above.withColumnRenamed("node", "parent"), "parent").select(F.col("child").alias("node"), "root", (F.col("hops") + 1).alias("hops"), F.concat("path", F.array("child")).alias("path"), "looped")
-        flags = down.groupBy("node").agg(F.max("looped").alias("looped"))
-        best = down.where("root is not null").groupBy("node", "root").agg(F.min(F.struct("hops", "path")).alias("b")).select("node", "root", "b.*")
-        mine = flags.join(best, "node", "left").select("node", "root", "hops", "path", "looped")
-        known = materialize(above.unionByName(mine), "peel-facts")
+    links = materialize(links, "peel-links")
+    roots = _nodes(links, "parent").join(_nodes(links, "child"), "node", "left_anti")
+    facts = Growing(links.sparkSession, "peel-facts")
+    known = facts.add(roots.select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("hops"), F.lit(None).cast("string").alias("via")))
+    stages, rest = peel_links(links)
+    if not rest.isEmpty():
+        known = facts.add(_core_facts(rest, known))
+    for leaves in reversed(stages):
+        known = facts.add(_offers(leaves, known))
     return known
 
 
-def descendants(links: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
-    """``(ancestor, node)``, once for every node below another.
+def paths(facts: DataFrame) -> DataFrame:
+    """``(node, root, hops, path)``: the way from each root down to the node, both included; null for a circle's row.
 
-    The lists are kept as rows, since a root may have a third of all nodes
-    below it. Each round, the leaves send themselves and their own lists, which
-    are complete by then, to their parents. Nodes of a circle are below
-    themselves.
+    Each node holds a part of its way and points to the node where that part
+    begins; parts are joined to parts, so that they double each time.
     """
-    rounds, rest, left = peel_links(links, local_links)
-    pairs = None
-    for leaves in rounds:
-        sent = leaves.select(F.col("parent").alias("ancestor"), F.col("child").alias("node"))
-        if pairs is not None:
-            passed = leaves.join(pairs.withColumnRenamed("ancestor", "child"), "child").select(F.col("parent").alias("ancestor"), "node")
-            sent = pairs.unionByName(sent).unionByName(passed).distinct()
-        pairs = materialize(sent, "peel-lists")
-    if left <= local_links:
-        core = materialize(rest.coalesce(1).mapInPandas(_pairs_task, _PAIRS), "core-lists")
-    else:  # circles larger than a task: grow the closure until nothing is new
-        core = new = materialize(rest.select(F.col("parent").alias("ancestor"), F.col("child").alias("node")), "core-lists")
-        while True:
-            longer = new.withColumnRenamed("node", "parent").join(rest, "parent").select("ancestor", F.col("child").alias("node")).distinct()
-            new = materialize(longer.join(core, ["ancestor", "node"], "left_anti"), "core-new")
-            if not new.count():
-                break
-            core = materialize(core.unionByName(new), "core-lists")
-    if pairs is None:
-        return core
-    # what the rounds sent into the rest goes on to everything above within it
-    lower = core.select(F.col("ancestor"), F.col("node").alias("via")).join(pairs.withColumnRenamed("ancestor", "via"), "via").select("ancestor", "node")
-    return core.unionByName(pairs).unionByName(lower).distinct()
+    part = facts.where("root is not null").select("node", "root", F.array("node").alias("path"), F.col("via").alias("at"))
+    part = materialize(part, "path-parts")
+    while not part.where("at is not null").isEmpty():
+        above = part.select(F.col("node").alias("at"), "root", F.col("path").alias("head"), F.col("at").alias("next"))
+        step = part.where("at is not null").join(above, ["at", "root"]).select("node", "root", F.concat("head", "path").alias("path"), F.col("next").alias("at"))
+        part = materialize(part.where("at is null").unionByName(step), "path-parts")
+    ring = facts.where("root is null").select("node", "root", F.lit(None).cast("array<string>").alias("path"), "hops")
+    return facts.select("node", "root", "hops").join(part.drop("at"), ["node", "root"]).select("node", "root", "hops", "path").unionByName(ring)
+
+
+def descendants(links: DataFrame) -> DataFrame:
+    """``(ancestor, node)``, once for every node below another; the lists are kept as rows, since a root may have a third of all nodes below it.
+
+    ``far`` has the pairs exactly 2 ** k hops apart and ``near`` those fewer
+    apart; one join lengthens both, so that a chain takes as many rounds as
+    its length has bits and no pair is found by every node between. The rounds
+    end when ``near`` no longer grows, which holds for circles too, whose nodes
+    are below themselves.
+    """
+    pair = ("ancestor", "node")
+    far = materialize(links.select(F.col("parent").alias("ancestor"), F.col("child").alias("node")).distinct(), "lists-far")
+    near, count = far, far.count()
+    while count:
+        above = far.select("ancestor", F.col("node").alias("via"))
+        wider = near.unionByName(above.join(near.withColumnRenamed("ancestor", "via"), "via").select(*pair))
+        far = materialize(above.join(far.withColumnRenamed("ancestor", "via"), "via").select(*pair).distinct(), "lists-far")
+        near = materialize(wider.unionByName(far).distinct(), "lists-near")
+        now = near.count()
+        if now == count:
+            break
+        count = now
+    return near.select(*pair)

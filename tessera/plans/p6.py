@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.hierarchy import LOOP, clean_links, descendants, hierarchy
+from ..operators.hierarchy import LOOP, clean_links, descendants, hierarchy, paths
+from ..session import materialize
 from ..sources.tables import clean_id, latest, table
 
 #: The kind stands before the id within a node's name, so that both kinds go through one run.
@@ -40,27 +41,30 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a root's only row is itself with no hop; every other node of the links has a parent
     below = facts.where("root is null or node != root")
     kind, node = _plain("node")
-    roots = below.where("root is not null").select(kind, node.alias("node_id"), _plain("root")[1].alias("root_id"))
-    loops = below.where("looped").select(kind, node.alias("node_id"), F.lit(LOOP).alias("root_id")).distinct()
-    return roots.unionByName(loops)
+    return below.select(kind, node.alias("node_id"), F.coalesce(_plain("root")[1], F.lit(LOOP)).alias("root_id"))
 
 
 def p6_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each record with its path and depth from each root; ``looped`` where circles are above it.
+    """Each record with its path and depth from each root and how many records are below it.
 
-    Records without parents and children stand for themselves.
+    Records without parents and children stand for themselves. Where circles
+    are above a record it has a row with ``root_id`` ``loop``, without path and
+    depth.
     """
     links, nodes = graph(spark, sf_dir)
-    facts = nodes.distinct().join(hierarchy(links), "node", "left")
-    alone = F.col("looped").isNull()
+    links = materialize(links, "hierarchy-links")
+    below = descendants(links).groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("below"))
+    found = paths(hierarchy(links)).withColumn("linked", F.lit(True))
+    facts = nodes.distinct().join(found, "node", "left").join(below, "node", "left")
+    alone = F.col("linked").isNull()
     kind, node = _plain("node")
     return facts.select(
         kind,
         node.alias("node_id"),
-        F.when(alone, node).otherwise(_plain("root")[1]).alias("root_id"),
+        F.when(alone, node).otherwise(F.coalesce(_plain("root")[1], F.lit(LOOP))).alias("root_id"),
         F.when(alone, F.lit(0)).otherwise(F.col("hops")).cast("long").alias("depth"),
         F.when(alone, node).otherwise(F.expr("array_join(transform(path, x -> substring(x, instr(x, ':') + 1)), '/')")).alias("path"),
-        F.coalesce("looped", F.lit(False)).alias("looped"),
+        F.coalesce("below", F.lit(0)).alias("below"),
     )
 
 
@@ -71,7 +75,14 @@ def p6_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return descendants(links).select(kind, node.alias("node_id"), _plain("node")[1].alias("descendant_id"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_hierarchy": p6_hierarchy, "p6_descendants": p6_descendants}
+def p6_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record that has a parent, with each root above it and how many hops the shortest way to it has."""
+    links, _ = graph(spark, sf_dir)
+    kind, node = _plain("node")
+    return hierarchy(links).where("hops > 0").select(kind, node.alias("node_id"), _plain("root")[1].alias("root_id"), F.col("hops").alias("depth"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_depths": p6_depths, "p6_hierarchy": p6_hierarchy, "p6_descendants": p6_descendants}
 
 _GRAPH = """WITH RECURSIVE
  it AS (SELECT id, up FROM (SELECT lower(trim(document_id)) id, nullif(lower(trim(parent_document_id)), '') up,
@@ -91,5 +102,9 @@ SQL = {
  ring AS (SELECT kind, child id FROM reach WHERE child = parent)
 SELECT r.kind, r.child AS node_id, r.parent AS root_id FROM reach r JOIN tops t ON t.kind = r.kind AND t.id = r.parent
 UNION SELECT r.kind, r.child, 'loop' FROM reach r JOIN ring g ON g.kind = r.kind AND g.id = r.parent""",
+    "p6_depths": _GRAPH
+    + """, dist AS (SELECT kind, child id, parent up, 1 d FROM links UNION SELECT s.kind, s.id, l.parent, s.d + 1 FROM dist s JOIN links l ON l.kind = s.kind AND l.child = s.up WHERE s.d < 400),
+ tops AS (SELECT kind, id FROM nodes EXCEPT SELECT kind, child FROM links)
+SELECT s.kind, s.id AS node_id, s.up AS root_id, min(s.d)::BIGINT AS depth FROM dist s JOIN tops t ON t.kind = s.kind AND t.id = s.up GROUP BY ALL""",
     "p6_descendants": _GRAPH + " SELECT DISTINCT kind, parent AS node_id, child AS descendant_id FROM reach",
 }

@@ -57,7 +57,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     Cuts lineage, so a lost executor costs a re-read and not a re-run, and
     gives later stages true sizes to plan with.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
+    return Growing(df.sparkSession, name).add(df)
+
+
+class Growing:
+    """A table in the shared folder that grows by whole batches of rows; each reading sees the batches added before it."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Append ``df`` and read all rows so far, as one scan and not as a union of many."""
+        df.write.mode("append").option("compression", "zstd").parquet(self.path)
+        return self.spark.read.schema(df.schema).parquet(self.path)
