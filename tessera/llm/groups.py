@@ -7,8 +7,9 @@ its row and its column offer as its parent. Links are then rewritten to the
 parents and the next round begins, until no link joins two different parents.
 
 The grid has as many cells as keep a cell's links within the memory of a task,
-whatever a vertex's degree: a vertex that a third of all links name is spread
-over a whole row and column.
+and never fewer than two rows and columns, so that small tables go the same way
+as large ones. Whatever a vertex's degree, one that a third of all links name is
+spread over a whole row and column.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 CELL_LINKS = 40_000
-_SALTS = 8
+#: Rows of one key that go to one task of a join; a key with more is spread over as many as it needs.
+KEY_ROWS = 100_000
 
 
 def union_find(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
@@ -61,14 +63,22 @@ def _in_cells(links: DataFrame, blocks: int) -> DataFrame:
     return cell.groupBy("x", "y").applyInPandas(lambda pdf: _cell(pdf[["a", "b"]]), "v string, p string")
 
 
-def _renamed(df: DataFrame, col: str, parents: DataFrame) -> DataFrame:
-    """``df`` with ``col`` replaced by its parent, if it has one.
+def spread_join(df: DataFrame, side: DataFrame, key: str, how: str, key_rows: int = KEY_ROWS) -> DataFrame:
+    """``df`` joined to ``side``, which has each ``key`` at most once, with hot keys spread by how many rows they have.
 
-    Salted on both sides: after a few rounds one parent may stand for a third
-    of all rows.
+    The table of hot keys has at most one row for every ``key_rows`` rows of
+    ``df``, so that it can be sent to all tasks.
     """
-    salted = parents.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))).select(F.col("v").alias(col), F.col("p").alias("_p"), "_s")
-    out = df.withColumn("_s", F.pmod(F.xxhash64(*df.columns), F.lit(_SALTS)).cast("int")).join(salted, [col, "_s"], "left")
+    hot = F.broadcast(df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > key_rows).select(key, F.ceil(F.col("_n") / key_rows).cast("int").alias("_k")))
+    many = F.coalesce("_k", F.lit(1))
+    left = df.join(hot, key, "left").withColumn("_s", F.pmod(F.xxhash64(*df.columns), many).cast("int")).drop("_k")
+    right = side.join(hot, key, "left").withColumn("_s", F.explode(F.sequence(F.lit(0), many - 1))).drop("_k")
+    return left.join(right, [key, "_s"], how).drop("_s")
+
+
+def _renamed(df: DataFrame, col: str, parents: DataFrame) -> DataFrame:
+    """``df`` with ``col`` replaced by its parent, if it has one."""
+    out = spread_join(df, parents.select(F.col("v").alias(col), F.col("p").alias("_p")), col, "left")
     return out.withColumn(col, F.coalesce("_p", col)).select(*df.columns)
 
 
@@ -82,12 +92,11 @@ def components(links: DataFrame, cell_links: int = CELL_LINKS) -> DataFrame:
     rest = materialize(links.where("a is not null and b is not null and a != b").select(*ends("a", "b")).distinct(), "grid-links")
     left, rounds = rest.count(), []
     while left:
-        blocks = max(1, math.ceil(math.sqrt(2 * left / cell_links)))
+        blocks = max(2, math.ceil(math.sqrt(2 * left / cell_links)))
+        # the cells of a vertex's row and of its column: the least of what both offer is its parent
         offers = _in_cells(rest, blocks)
         parents = materialize(offers.groupBy("v").agg(F.min("p").alias("p")), "grid-parents")
         rounds.append(parents)
-        if blocks == 1:  # one cell saw every link
-            break
         moved = parents.where("v != p")
         rest = materialize(_renamed(_renamed(rest, "a", moved), "b", moved).where("a != b").select(*ends("a", "b")).distinct(), "grid-links")
         left = rest.count()
@@ -102,6 +111,4 @@ def components(links: DataFrame, cell_links: int = CELL_LINKS) -> DataFrame:
 def star(df: DataFrame, key: str, member: str) -> DataFrame:
     """Links ``(a, b)`` that join all members of a key: each with the least of them, and no pair else."""
     low = df.groupBy(key).agg(F.min(member).alias("a"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
-    left = df.withColumn("_s", F.pmod(F.xxhash64(member), F.lit(_SALTS)).cast("int"))
-    return left.join(low.withColumn("_s", salts), [key, "_s"]).select("a", F.col(member).alias("b")).where("a != b").distinct()
+    return spread_join(df, low, key, "inner").select("a", F.col(member).alias("b")).where("a != b").distinct()

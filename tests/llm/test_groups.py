@@ -1,6 +1,7 @@
 import random
 
-from tessera.llm.groups import components, star
+from tessera.llm import groups
+from tessera.llm.groups import components, spread_join, star
 
 
 def brute(links):
@@ -31,6 +32,27 @@ def test_components_over_many_cells(spark):
         assert got == brute(links)
 
 
+def test_hot_keys_are_spread_by_their_count(spark):
+    df = spark.createDataFrame([("hot", i) for i in range(95)] + [("cool", 1), (None, 2), ("alone", 3)], "k string, x long")
+    side = spark.createDataFrame([("hot", "H"), ("cool", "C"), ("other", "O")], "k string, y string")
+    want = None
+    for rows in (10, 1000):
+        got = spread_join(df, side, "k", "left", key_rows=rows).collect()
+        want = want or {(r["k"], r["x"], r["y"]) for r in got}
+        assert len(got) == 98 and {(r["k"], r["x"], r["y"]) for r in got} == want
+        assert sum(r["y"] == "H" for r in got) == 95
+    assert spread_join(df, side, "k", "inner", key_rows=10).count() == 96
+
+
+def test_small_tables_use_the_grid_too(spark, monkeypatch):
+    seen = []
+    plain = groups._in_cells
+    monkeypatch.setattr(groups, "_in_cells", lambda links, blocks: seen.append(blocks) or plain(links, blocks))
+    links = [(f"v{i}", f"v{i + 1}") for i in range(9)]
+    assert {r["p"] for r in components(spark.createDataFrame(links, "a string, b string")).collect()} == {"v0"}
+    assert seen and min(seen) >= 2
+
+
 def test_no_links(spark):
     df = spark.createDataFrame([], "a string, b string")
     assert components(df).count() == 0
