@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from ..sources.tables import clean_id, latest, table
 
 
@@ -12,21 +13,14 @@ def chunks(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """Chunks ``(id, text_id, content)``, exact repeats of a row once.
 
     Repeats share their id, so one row an id is kept: whichever is greatest.
+    Rows without an id can't be told to be repeats and all stay.
     """
     cols = ["text_id", "content", *more]
     raw = table(spark, sf_dir, "chunks").select("id", F.col("source_id").alias("text_id"), "content", *more)
-    # repeats are few: only ids that occur twice are grouped, so the texts of the others aren't shuffled
-    twice = raw.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
-    own = raw.join(F.broadcast(twice), "id", "left_anti") if _few(twice) else None
-    if own is None:
-        return raw.groupBy("id").agg(F.max(F.struct(*cols)).alias("r")).select("id", "r.*")
-    again = raw.join(F.broadcast(twice), "id", "left_semi").groupBy("id").agg(F.max(F.struct(*cols)).alias("r")).select("id", "r.*")
-    return own.unionByName(again)
-
-
-def _few(ids: DataFrame, most: int = 1_000_000) -> bool:
-    """Whether the ids fit a broadcast of 16 MB; beyond that the rows are grouped instead."""
-    return ids.count() <= most
+    # repeats are few: written first, so that the planner knows their size and need not shuffle the texts of the others
+    twice = materialize(raw.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "chunk-repeats")
+    again = raw.join(twice, "id", "left_semi").groupBy("id").agg(F.max(F.struct(*cols)).alias("r")).select("id", "r.*")
+    return raw.join(twice, "id", "left_anti").unionByName(again)
 
 
 def providers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,23 +2,31 @@
 
 For each provider and line, the share of the provider's texts that hold the
 line is compared with its share among all other texts by a log-likelihood
-ratio; the false discovery rate over all lines seen is kept by the step-up
-rule. Texts of providers where the line is repeated too are no evidence
-against it, so they are left out of "all other texts". The significant lines
-are then counted again by their letters, and removed by an anti-join.
+ratio. Every line that was seen is tested, for each provider that has it, and
+the step-up rule over all these tests keeps the false discovery rate. The
+significant lines that also meet the problem's own rule (so many texts, such a
+share of them, so many letters) are the cases: removed by an anti-join, while
+the other lines are put together again by position.
+
+The texts are read once for that; from then on a line is the two hashes of its
+letters.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import materialize
 
-MIN_TEXTS, MIN_SHARE, MIN_LETTERS, FDR = 5, 0.1, 20, 0.01
-#: A table of lines is broadcast up to this many rows, each of a hash and a short name.
-BROADCAST_ROWS = 200_000
+MIN_TEXTS, MIN_SHARE, MIN_LETTERS = 5, 0.1, 20
+#: At most this share of the significant lines are so by chance.
+FDR = 0.1
+#: Logarithms of chances are sorted into bins of this width; below the floor any number of tests is passed.
+BIN, FLOOR = 0.001, -100.0
 
 
 def line_key(line: Column) -> Column:
@@ -57,73 +65,82 @@ def log_p(k: Column, n: Column, k0: Column, n0: Column) -> Column:
     return F.when((n0 == 0) | (k * n0 > k0 * n), F.ln(tail) - x * x).otherwise(F.lit(0.0))
 
 
-def often_seen(chunks: DataFrame, min_texts: int = MIN_TEXTS, min_letters: int = MIN_LETTERS) -> DataFrame:
-    """``(id, text_id, line_no, key)`` of the lines that occur often enough, anywhere, to be worth a test.
-
-    Only hashes are shuffled, combined before; the texts are then read again
-    and their lines filtered by the hashes that are left.
-    """
-    lines = keyed(chunks, min_letters).withColumn("h", F.xxhash64("key"))
-    often = materialize(lines.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= min_texts).select("h"), "lines-often")
-    if often.count() <= BROADCAST_ROWS:
-        often = F.broadcast(often)
-    return materialize(lines.join(often, "h", "left_semi").select("id", "text_id", "line_no", "key"), "lines-hit")
+def hashed(chunks: DataFrame, min_letters: int = MIN_LETTERS) -> DataFrame:
+    """``(id, text_id, line_no, h, g)`` of every line long enough, written once; ``h`` and ``g`` are two hashes of its letters, 96 bits together."""
+    lines = keyed(chunks, min_letters)
+    return materialize(lines.select("id", "text_id", "line_no", F.xxhash64("key").alias("h"), F.hash("key").alias("g")), "lines-hashed")
 
 
-def repeated_lines(hit: DataFrame, providers: DataFrame, all_texts: int, min_texts: int = MIN_TEXTS, min_share: float = MIN_SHARE, fdr: float = FDR) -> DataFrame:
-    """``(provider, key, texts, of_texts, log_p)`` of the lines a provider repeats in significant excess.
+def tested_lines(lines: DataFrame, providers: DataFrame, all_texts: int) -> DataFrame:
+    """``(provider, h, g, texts, of_texts, bin)``: every line of every provider with its chance, as a bin of its logarithm.
 
-    ``hit`` is from :func:`often_seen`; ``providers`` has ``text_id`` and
+    ``lines`` is from :func:`hashed`; ``providers`` has ``text_id`` and
     ``provider``, each pair once. A text without a provider counts among all
     other texts only.
     """
     size = providers.groupBy("provider").agg(F.count("*").alias("of_texts"))
     # once a text first, then once a provider: a hot line is combined before each shuffle
-    held = hit.select("text_id", "key").distinct().join(providers, "text_id", "left")
-    counts = held.groupBy("key", "provider").agg(F.count("*").alias("texts")).join(size, "provider", "left")
-    often = (F.col("texts") >= min_texts) & (F.col("texts") >= min_share * F.col("of_texts"))
-    counts = materialize(counts.withColumn("repeats", F.coalesce(often, F.lit(False))), "lines-counts")
-    tests = max(counts.where("provider is not null").count(), 1)
-    # outside: texts of no provider, and of providers which don't repeat the line themselves
-    outside = counts.groupBy("key").agg(
-        F.sum(F.when(F.col("repeats"), 0).otherwise(F.col("texts"))).alias("k0"),
-        F.sum(F.when(F.col("repeats"), F.col("of_texts")).otherwise(0)).alias("n_rep"),
-    )
-    real = lambda c: F.col(c).cast("double")
-    rest = F.greatest(F.lit(all_texts) - F.col("n_rep"), F.col("k0")).cast("double")
-    # where every text's provider repeats the line there is nothing outside: then it counts as unknown elsewhere
-    rest = F.when(rest > 0, rest).otherwise(F.lit(float(all_texts)))
-    tested = counts.where("repeats").join(outside, "key").withColumn("log_p", log_p(real("texts"), real("of_texts"), real("k0"), rest))
-    tested = materialize(tested.select("provider", "key", "texts", "of_texts", "log_p"), "lines-tested")
-    # step-up: the largest chance that is at most rank / tests * fdr bounds all that count
-    ranks = tested.groupBy("log_p").agg(F.count("*").alias("c")).withColumn("rank", F.sum("c").over(Window.orderBy("log_p")))
-    cut = ranks.where(F.col("log_p") <= F.ln(F.col("rank") * F.lit(fdr) / F.lit(tests))).agg(F.max("log_p").alias("cut")).collect()[0]["cut"]
-    return tested.where(F.lit(False) if cut is None else F.col("log_p") <= cut)
+    held = lines.select("text_id", "h", "g").distinct().join(providers, "text_id", "left")
+    counts = held.groupBy("h", "g", "provider").agg(F.count("*").alias("texts"))
+    whole = F.sum("texts").over(Window.partitionBy("h", "g"))
+    counts = counts.withColumn("whole", whole).where("provider is not null").join(size, "provider")
+    real = lambda c: c.cast("double")
+    k, n, t = F.col("texts"), F.col("of_texts"), F.col("whole")
+    chance = log_p(real(k), real(n), real(t - k), real(F.lit(all_texts) - n))
+    binned = F.ceil(F.greatest(chance, F.lit(FLOOR)) / BIN).cast("int")
+    return materialize(counts.select("provider", "h", "g", "texts", "of_texts", binned.alias("bin")), "lines-tested")
+
+
+def step_up(tested: DataFrame, fdr: float = FDR) -> int | None:
+    """The highest bin whose tests all count as significant: the last one at most rank / tests * fdr; none if there is none.
+
+    There are at most ``-FLOOR / BIN`` bins, whatever the number of tests.
+    """
+    bins = tested.groupBy("bin").agg(F.count("*").alias("n")).orderBy("bin").collect()
+    tests, rank, cut = sum(r["n"] for r in bins), 0, None
+    for r in bins:
+        rank += r["n"]
+        if r["bin"] * BIN <= math.log(rank * fdr / tests):
+            cut = r["bin"]
+    return cut
+
+
+def repeated_lines(tested: DataFrame, min_texts: int = MIN_TEXTS, min_share: float = MIN_SHARE, fdr: float = FDR) -> DataFrame:
+    """``(provider, h, g)``: the lines a provider repeats in significant excess, of those that meet the rule."""
+    cut = step_up(tested, fdr)
+    case = (F.col("texts") >= min_texts) & (F.col("texts") >= min_share * F.col("of_texts"))
+    return materialize(tested.where((F.lit(False) if cut is None else F.col("bin") <= cut) & case).select("provider", "h", "g"), "lines-found")
 
 
 def places(chunks: DataFrame, providers: DataFrame, min_texts: int = MIN_TEXTS, min_share: float = MIN_SHARE, min_letters: int = MIN_LETTERS, fdr: float = FDR) -> DataFrame:
     """``(id, line_no, provider)``: each place where a line stands that its provider repeats in excess.
 
     ``chunks`` has ``id``, ``text_id`` and ``content``; repeated rows change
-    nothing. Null and empty contents have no such line.
+    nothing. Null and empty contents have no such line. A line that meets the
+    rule but stands in all other texts as often is no excess and stays.
     """
-    hit = often_seen(chunks, min_texts, min_letters)
-    found = repeated_lines(hit, providers, chunks.select("text_id").distinct().count(), min_texts, min_share, fdr)
-    # at most 1 / min_share times the lines of an average text, for each provider
-    lines = found.select("provider", "key")
-    return hit.join(providers, "text_id").join(lines, ["provider", "key"]).select("id", "line_no", "provider").distinct()
+    lines = hashed(chunks, min_letters)
+    found = repeated_lines(tested_lines(lines, providers, chunks.select("text_id").distinct().count()), min_texts, min_share, fdr)
+    hit = lines.join(found.select("h", "g").distinct(), ["h", "g"], "left_semi")
+    return hit.join(providers, "text_id").join(found, ["provider", "h", "g"]).select("id", "line_no", "provider").distinct()
 
 
 def without_lines(chunks: DataFrame, found: DataFrame) -> DataFrame:
     """``(id, content, removed)``: chunks without the lines at the places ``found``.
 
-    The other lines keep their order and their own line breaks' kind (LF or
-    CRLF, by the chunk's first). Only chunks that hold such a line are taken
-    apart; they are put together again by position within the chunk's row, so
-    nothing grows beyond one chunk.
+    Chunks must be unique by ``id``. Those without such a line stay as they
+    are. The lines of the others lose, by an anti-join, those that were found,
+    and are put together again by position, each with its own line end; what
+    comes last has none. A chunk that loses all its lines is empty.
     """
-    drop = found.groupBy("id").agg(F.collect_set("line_no").alias("_drop"))
-    both = chunks.select("id", "content").join(drop, "id", "left")
-    kept = F.filter(F.split("content", "\r?\n"), lambda _, i: ~F.array_contains(F.col("_drop"), (i + 1).cast("long")))
-    text = F.when(F.col("content").contains("\r\n"), F.array_join(kept, "\r\n")).otherwise(F.array_join(kept, "\n"))
-    return both.select("id", F.when(F.col("_drop").isNull(), F.col("content")).otherwise(text).alias("content"), F.coalesce(F.array_size("_drop"), F.lit(0)).alias("removed"))
+    drop = materialize(found.select("id", "line_no").distinct(), "lines-places")
+    removed = drop.groupBy("id").agg(F.count("*").cast("int").alias("removed"))
+    hit = chunks.select("id", "content").join(removed, "id", "left_semi")
+    parts = F.arrays_zip(F.split("content", "\r?\n").alias("line"), F.regexp_extract_all("content", F.lit("\r?\n"), 0).alias("end"))
+    lines = hit.select("id", F.posexplode(parts).alias("n", "p")).select("id", (F.col("n") + 1).cast("long").alias("line_no"), "p.line", F.coalesce("p.end", F.lit("")).alias("end"))
+    kept = lines.join(drop, ["id", "line_no"], "left_anti")
+    whole = kept.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("line_no", "line", "end"))).alias("l"))
+    text = F.array_join(F.transform("l", lambda x, i: F.when(i + 1 < F.size("l"), F.concat(x["line"], x["end"])).otherwise(x["line"])), "")
+    clean = removed.join(whole.select("id", text.alias("content")), "id", "left").select("id", F.coalesce("content", F.lit("")).alias("content"), "removed")
+    same = chunks.select("id", "content").join(removed, "id", "left_anti").select("id", "content", F.lit(0).alias("removed"))
+    return same.unionByName(clean)
