@@ -57,8 +57,11 @@ def _parts(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], dict
     return {k: v.withColumn("chars", F.length("text").cast("long")).where("chars > 0") for k, v in texts.items()}, labels
 
 
-def read_all(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """``(segments, labels)`` of every record of all kinds; repeated rows and old versions are gone."""
+def read_all(spark: SparkSession, sf_dir: str, evidence: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``(segments, labels)`` of every record of all kinds; repeated rows and old versions are gone.
+
+    Without ``evidence`` the segments' sums for each language are left out.
+    """
     net = fitted(spark, sf_dir)
     texts, labels = _parts(spark, sf_dir)
     found, named = None, None
@@ -72,14 +75,14 @@ def read_all(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         found = seg if found is None else found.unionByName(seg)
         named = own if named is None else named.unionByName(own)
     # only what was found is moved, and repeated rows repeat it exactly
-    facts = F.struct("chars", "char_start", "char_end", "heard", "language", "confidence", *_EVIDENCE)
+    facts = F.struct("chars", "char_start", "char_end", "heard", "language", "confidence", *(_EVIDENCE if evidence else ()))
     seen = found.groupBy("kind", "record_id", "part", "segment_no").agg(F.max(facts).alias("s")).select("kind", "record_id", "part", "segment_no", "s.*")
     return materialize(seen, "language-segments"), named
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records whose label is missing, no language or wrong, or whose text is in several; a row for each language of the text."""
-    seen, named = read_all(spark, sf_dir)
+    seen, named = read_all(spark, sf_dir, evidence=False)
     parts = seen.groupBy("kind", "record_id", "part").agg(F.max("chars").alias("chars"))
     long = parts.groupBy("kind", "record_id").agg(F.sum("chars").alias("chars")).where(F.col("chars") >= MIN_TEXT)
     runs = seen.groupBy("kind", "record_id", "language").agg(F.max("heard").alias("run")).where(F.col("run") >= MIN_RUN)
@@ -108,7 +111,7 @@ def p1_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every segment of every text, with its language and a confidence; ``part`` is the chunk or the version."""
-    return read_all(spark, sf_dir)[0].select("kind", "record_id", "part", "segment_no", "char_start", "char_end", "language", "confidence")
+    return read_all(spark, sf_dir, evidence=False)[0].select("kind", "record_id", "part", "segment_no", "char_start", "char_end", "language", "confidence")
 
 
 QUERIES = {"p1_found": p1_found, "p1_languages": p1_languages, "p1_segments": p1_segments}
