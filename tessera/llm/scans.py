@@ -46,8 +46,8 @@ OFTEN, OFTEN_SHARE, BESIDE = 20, 5e-6, 0.2
 SHORT_WORD = 4
 #: A running title shares so much of its words with the book's title and author, or comes so often at the edges of the book's pages.
 TITLE_WORDS, TITLE_PLACES = 0.6, 3
-#: Words held by a task before they are passed on.
-HELD_WORDS = 300_000
+#: Words held by a task before they are passed on, and words it remembers the classes of.
+HELD_WORDS, KNOWN_WORDS = 300_000, 100_000
 
 _WORD = re.compile(r"[^\W_]+(?:[|@]+[^\W_]+)*|(?<=[^\W_])[|@][^\W_]+")
 #: What a sign or digit within a word was read for; fixed values.
@@ -70,7 +70,7 @@ _HINTS = {
 }
 
 
-@functools.lru_cache(maxsize=300_000)
+@functools.lru_cache(maxsize=50_000)
 def words_of(raw: str) -> tuple[str, ...]:
     """The words in what stands between two blanks, in lower case; a hyphenated one as a whole as well."""
     low = raw.lower()
@@ -294,13 +294,13 @@ def evidence(df: DataFrame, key: str, text: str, group: str, wrong: WordFilter)
                                 rows.append((i, "break", a + b, f"{a}-{b}"))
                 rows += [(i, "hard", None, None) for i in np.flatnonzero(hard).tolist()]
                 coded, starts = _coded(column)
-                if len(known) > HELD_WORDS:
+                if len(known) > KNOWN_WORDS:
                     known.clear()
                 doubtful = []
                 for raw in coded.dictionary.to_pylist():
                     found = known.get(raw)
                     if found is None:
-                        found = known[raw] = tuple(w for w in words_of(raw) if len(w) > 1 and shared.value.may_have(w))
+                        found = known[raw] = tuple(w for w in words_of.__wrapped__(raw) if len(w) > 1 and shared.value.may_have(w))
                     doubtful.append(found)
                 flag = np.fromiter(map(bool, doubtful), dtype=bool, count=len(doubtful))
                 codes = np.asarray(coded.indices)
