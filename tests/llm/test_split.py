@@ -30,6 +30,21 @@ def test_cuts_prefer_coarse_boundaries():
     assert all(("word " * 500)[a : a + 4] == "word" for a, _ in words)
 
 
+def test_what_fits_a_piece_is_never_broken():
+    para = ("word " * 335 + "end.\n\n")[:1681]
+    got = pieces(para + para.rstrip(), 1800, 250)
+    assert len(para) == 1681 and [b for _, b in got] == [1681, 3360] and 0 < 1681 - got[1][0] <= 121
+    # three paragraphs, of which the second leaves no room for a tail of 250
+    text = "a b c. " * 30 + "\n\n" + "d e f. " * 250 + "\n\n" + "g h i. " * 40
+    ends = [b for _, b in pieces(text, 1800, 250)]
+    assert 212 in ends and text.index("g h i") in ends
+
+
+def test_a_stretch_without_boundaries_repeats_exactly():
+    got = pieces("x" * 5000, 1800, 250)
+    assert got == [(0, 1800), (1550, 3350), (3100, 4900), (4650, 5000)]
+
+
 def test_nulls_empties_and_line_ends(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "a\r\nb"), (4, "x" * 5000), (None, "z")], "id long, content string")
     rows = split_texts(df, "id", "content").orderBy("id", "piece_no").collect()
