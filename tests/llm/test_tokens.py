@@ -1,4 +1,5 @@
 import random
+import time
 
 import pyarrow as pa
 import pytest
@@ -70,6 +71,36 @@ def test_best_fit_takes_the_tightest_compatible_container():
     assert best_fit([], [], [], 10) == []
 
 
+def test_best_fit_equals_a_plain_search_of_the_tightest_container():
+    rng = random.Random(8)
+    for _ in range(30):
+        n = rng.randint(1, 120)
+        sizes, clusters = [rng.randint(0, 40) for _ in range(n)], [rng.choice([None, None, 1, 2, 3]) for _ in range(n)]
+        got = best_fit(sizes, ["s"] * n, clusters, 40)
+        # the same rule without an index: the tightest open container without a copy
+        place = {c: i for i, c in enumerate(dict.fromkeys(clusters))}
+        rooms, inside, want = [], [], [0] * n
+        for i in sorted(range(n), key=lambda i: (-sizes[i], place[clusters[i]], i)):
+            fits = [(rooms[b], b) for b in range(len(rooms)) if rooms[b] >= sizes[i] and (clusters[i] is None or clusters[i] not in inside[b])]
+            b = min(fits)[1] if fits else len(rooms)
+            if not fits:
+                rooms.append(40)
+                inside.append(set())
+            rooms[b] -= sizes[i]
+            inside[b].add(clusters[i])
+            want[i] = b
+        assert got == want
+
+
+def test_many_copies_take_no_quadratic_time():
+    began = time.time()
+    boxes = best_fit([30] * 20_000, ["s"] * 20_000, ["c"] * 20_000, 100)
+    assert len(set(boxes)) == 20_000 and time.time() - began < 5
+    began = time.time()
+    half = best_fit([30] * 10_000 + [31] * 10_000, list("abcd") * 5_000, ["c"] * 10_000 + [None] * 10_000, 100)
+    assert len(set(half[:10_000])) == 10_000 and time.time() - began < 5
+
+
 def test_packing_keeps_every_token(spark):
     rng = random.Random(1)
     rows = [(1, 100, i, rng.choice([0, 1, 30, 55, 99, 100, 250, 1000]), rng.choice("st"), rng.choice([None, 1, 2])) for i in range(500)]
