@@ -41,8 +41,6 @@ from .tokens import slices
 
 THRESHOLD = 1.0
 KINDS = ("insult", "threat", "hate", "sexual")
-#: Every phrase has a word of these classes, or a text can't have it.
-TRIGGERS = ("INSULT", "BEAST", "VULGAR", "HARM", "HARMFUT", "KILLV", "DIE", "DIETOO", "DIESELF", "ROOTOUT", "PURGED", "VERMIN", "WEAKVERMIN", "SUBHUMAN", "EVIL", "KEEP", "MOUTH", "SEXACT", "SEXPART", "NUDE", "PORN", "HORNY", "SEX", "WHORE", "SLEEP", "ADJ")
 #: Classes whose words may stand hidden behind signs.
 HIDDEN = ("INSULT", "BEAST", "VULGAR", "HARM", "ROOTOUT", "VERMIN", "WEAKVERMIN", "SUBHUMAN", "EVIL", "ADJ", "SEXACT", "SEXPART", "NUDE", "PORN", "HORNY", "WHORE", "BODYPART")
 #: How many words a negation covers.
@@ -50,7 +48,6 @@ REACH = 3
 
 _NAMES = (*WORDS, "NAME", "BREAK")
 _BIT = {name: 1 << i for i, name in enumerate(_NAMES)}
-_TRIGGER_BITS = sum(_BIT[n] for n in TRIGGERS)
 _HIDDEN_BITS = sum(_BIT[n] for n in HIDDEN)
 _INVISIBLE = re.compile("[\xad᠎​-‏‪-‮⁠-⁤﻿]")
 _EDGE = "\"'«»“”„‘’‚‹›()[]{}<>.,;:!?¡¿…-–—_~`|/\\"
@@ -386,7 +383,8 @@ def score_text(text: str) -> dict[str, float]:
         if not part or not part.strip():
             continue
         sentence = _read(part)
-        if not any(b & _TRIGGER_BITS for b in sentence.bits):
+        have = functools.reduce(int.__or__, sentence.bits, 0)
+        if not any(have & need == need for need in _NEEDS_LIST):
             continue
         best: dict[tuple[str, str], float] = {}
         for phrase, _, _ in _matches(sentence):
@@ -399,30 +397,53 @@ def score_text(text: str) -> dict[str, float]:
     return out
 
 
+#: What each phrase must have, but for a name, which is told by its place.
+_NEEDS = np.array(sorted({sum(_BIT[c] for c in set(text.split()[::2]) - {"NAME"}) for _, f, _, text in PHRASES if f not in HELPERS}), dtype=np.int64)
+_NEEDS_LIST = _NEEDS.tolist()
+_ENDS = re.compile(r"[.!?…][\"'»”’)\]]*$")
+_BEGINS = re.compile(r"[\"'«“„¡¿(\[]*[^\W\d_a-zß-öø-ÿ]")
+_SINGLE, _GLUED, _LAST, _FIRST = 1, 2, 4, 8
+
+
 @functools.lru_cache(maxsize=400_000)
-def _may_trigger(raw: str) -> int:
-    """2: a word that a phrase may need, or a string of glued words; 1: a single letter, maybe of a spaced word; else 0."""
+def _facts(raw: str) -> tuple[int, int]:
+    """The classes of what stands between two blanks, and whether it is a single letter, glued words, the last or the first of a sentence."""
     s = plain(raw).strip(_EDGE)
-    if len(s) == 1 and s.isalnum():
-        return 1
-    return 2 if len(s) > 2 * words().longest or classes(raw) & _TRIGGER_BITS else 0
+    flags = (_SINGLE if len(s) == 1 and s.isalnum() else 0) | (_GLUED if len(s) > 2 * words().longest else 0)
+    return classes(raw), flags | (_LAST if _ENDS.search(raw) else 0) | (_FIRST if _BEGINS.match(raw) else 0)
 
 
 def candidates(texts: pa.Array) -> np.ndarray:
-    """Which texts have a word that a phrase needs, or three single letters in a row."""
+    """Which texts have a sentence with all the classes of some phrase, glued words, or three single letters in a row.
+
+    Sentences are told by their words alone, so that one here may be several;
+    none is cut that :func:`score_text` reads as one.
+    """
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     parts = pc.utf8_split_whitespace(texts)
     flat = parts.flatten()
     coded = flat.dictionary_encode()
-    marks = np.fromiter((_may_trigger(w) if w else 0 for w in coded.dictionary.to_pylist()), dtype=np.int8, count=len(coded.dictionary))
-    each = marks[np.asarray(coded.indices)] if len(flat) else np.zeros(0, np.int8)
-    hit = each == 2
-    single = each == 1
-    if len(each) > 2:
-        hit[:-2] |= single[:-2] & single[1:-1] & single[2:]
+    facts = np.array([_facts(w) if w else (0, 0) for w in coded.dictionary.to_pylist()], dtype=np.int64).reshape(-1, 2)
+    out = np.zeros(len(texts), dtype=bool)
+    if not len(flat):
+        return out
+    bits, flags = facts[np.asarray(coded.indices)].T
     offsets = np.asarray(parts.offsets)
-    total = np.concatenate([[0], np.cumsum(hit)])
-    return (total[offsets[1:] - offsets[0]] - total[offsets[:-1] - offsets[0]]) > 0
+    offsets = offsets - offsets[0]
+    begin = np.zeros(len(bits), dtype=bool)
+    begin[offsets[:-1][offsets[:-1] < len(bits)]] = True
+    begin[1:] |= (flags[:-1] & _LAST > 0) & (flags[1:] & _FIRST > 0)
+    starts = np.flatnonzero(begin)
+    have = np.bitwise_or.reduceat(bits, starts)
+    hit = np.bitwise_or.reduceat(flags, starts) & _GLUED > 0
+    for need in _NEEDS:
+        hit |= have & need == need
+    single = flags & _SINGLE > 0
+    if len(single) > 2:
+        run = np.flatnonzero(single[:-2] & single[1:-1] & single[2:])
+        hit[np.searchsorted(starts, run, side="right") - 1] = True
+    out[np.searchsorted(offsets, starts[hit], side="right") - 1] = True
+    return out
 
 
 def score_texts(df: DataFrame, key: str, text: str) -> DataFrame:

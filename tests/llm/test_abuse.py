@@ -2,6 +2,7 @@ import random
 import sys
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 
 from tessera.llm import abuse
@@ -55,8 +56,12 @@ def test_context_takes_weight_away():
     assert not score_text("«You are an idiot» stands on the wall.") and score_text("Nobody cares, you are an idiot.")
 
 
-def test_each_phrase_needs_a_trigger():
-    assert all(f in abuse.HELPERS or set(text.split()[::2]) & set(abuse.TRIGGERS) for _, f, _, text in abuse.PHRASES)
+def test_no_text_with_a_score_is_kept_back():
+    texts = [*BAD, *GOOD, *unseen_abuse.BAD, *unseen_abuse.GOOD]
+    texts += [" ".join(texts[i : i + 5]) for i in range(0, len(texts), 3)] + ["\n\n".join(texts[i : i + 9]) for i in range(0, len(texts), 7)]
+    kept = abuse.candidates(pa.array([*texts, None, ""]))
+    assert not any(score_text(t) for t, k in zip(texts, kept) if not k) and not kept[-2:].any()
+    assert not abuse.candidates(pa.array([None, ""], pa.string())).any()
 
 
 def test_the_machine_of_letters_equals_a_search_of_all_words():
