@@ -13,9 +13,8 @@ from pyspark.sql.types import StringType
 WHITE = r"[\s\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{3000}]"
 #: Words that carry no meaning in a query; fixed values.
 STOP_WORDS = (
-    "the", "and", "for", "with", "that", "this", "from", "are", "was", "were", "into", "what", "how", "why",
-    "who", "when", "where", "which", "about", "have", "has", "had", "not", "but", "you", "your", "their", "its",
-    "can", "will", "would", "should", "does", "did", "than", "then",
+    "the", "and", "or", "of", "to", "in", "a", "an", "is", "are", "with", "as", "by", "for", "from", "on", "at", "be", "this", "that", "into",
+    "must", "shall", "will", "can", "not", "but", "all", "you", "your", "their", "they", "them", "his", "her", "its",
 )
 
 
@@ -200,39 +199,130 @@ def repair_mojibake(s: pd.Series) -> pd.Series:
 
 
 def unaccented(c: Column) -> Column:
-    """Latin letters without their accents, for keys."""
+    """Latin letters without their accents, for names of files and addresses."""
     plain = F.translate(c, "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "aaaaaaceeeeiiiinoooooouuuuyy")
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, "ß", "ss"), "œ", "oe"), "æ", "ae")
 
 
+@F.pandas_udf(StringType())
+def ascii_fold(s: pd.Series) -> pd.Series:
+    """Decomposed, and whatever isn't ASCII then left out."""
+    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode("ascii"))
+
+
+#: Articles that a title may begin with, and signs before a subtitle; fixed values.
+ARTICLES = r"^(the|a|an|le|la|les|l'|d'|du|de|des|un|une|der|die|das|den|dem|ein|eine|el|los|las|lo|il|gli|i)\s+"
+SUBTITLE = r"(?s)(?:\s*[:;]\s+|\s+--\s+).*$"
+
+
 def title_key(c: Column) -> Column:
-    """What two titles share if they name one work: no subtitle, signs, case or leading article."""
-    t = unaccented(F.lower(c))
-    t = F.regexp_replace(t, r"\s*[:;(\[].*$", "")
-    t = F.trim(F.regexp_replace(t, r"[^a-z0-9]+", " "))
-    return F.regexp_replace(t, r"^(the|a|an|le|la|les|der|die|das|el|los|las|il|lo|gli|un|une|una|ein|eine) ", "")
+    """What two titles share if they name one work: no subtitle, signs, accents, case or leading article; empty for null."""
+    t = F.trim(F.lower(ascii_fold(F.coalesce(c, F.lit("")))))
+    t = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, SUBTITLE, ""), r"[^\w\s]", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(t, ARTICLES, ""))
 
 
 def author_key(c: Column) -> Column:
     """What two notations of an author share: no dates, no brackets, the longer words in order."""
-    t = F.regexp_replace(F.regexp_replace(unaccented(F.lower(c)), r"\([^)]*\)", " "), r"\d{3,4}\s*-?\s*(\d{3,4})?", " ")
-    return F.array_join(F.array_sort(F.filter(F.split(F.trim(F.regexp_replace(t, r"[^a-z]+", " ")), " "), lambda w: F.length(w) > 1)), " ")
+    t = F.lower(ascii_fold(F.coalesce(c, F.lit(""))))
+    t = F.regexp_replace(F.regexp_replace(t, r"\b\d{3,4}\s*-\s*\d{0,4}\b", " "), r"\(.*?\)", " ")
+    return F.array_join(F.array_sort(F.filter(F.split(F.regexp_replace(t, r"[^\w\s]", " "), r"\s+"), lambda w: F.length(w) > 1)), " ")
+
+
+#: The parts of a work's key in a list of authors can't be folded within a lambda, so the names are folded together.
+_NEXT_AUTHOR = "\u0001"
 
 
 def work_key(title: Column, authors: Column, language: Column) -> Column:
-    """One key of a work from its title, all authors and its language; null without a title."""
-    names = F.array_join(F.array_sort(F.filter(F.transform(F.coalesce(authors, F.array().cast("array<string>")), author_key), lambda a: F.length(a) > 0)), "|")
+    """``title::authors::language``: one key of a work; null without a title."""
+    all_names = ascii_fold(F.array_join(F.filter(F.coalesce(authors, F.array().cast("array<string>")), lambda a: F.length(a) > 0), _NEXT_AUTHOR))
+
+    def one(a: Column) -> Column:
+        t = F.regexp_replace(F.regexp_replace(F.lower(a), r"\b\d{3,4}\s*-\s*\d{0,4}\b", " "), r"\(.*?\)", " ")
+        return F.array_join(F.array_sort(F.filter(F.split(F.regexp_replace(t, r"[^\w\s]", " "), r"\s+"), lambda w: F.length(w) > 1)), " ")
+
+    names = F.array_join(F.array_sort(F.filter(F.transform(F.split(all_names, _NEXT_AUTHOR), one), lambda a: F.length(a) > 0)), "|")
     return F.when(F.length(title_key(title)) > 0, F.concat_ws("::", title_key(title), names, F.lower(F.coalesce(language, F.lit("")))))
 
 
-def identifiers(c: Column) -> Column:
-    """ISBN, DOI and ARK names in a text, in one notation, sorted."""
-    low = F.lower(c)
-    isbn = F.transform(F.regexp_extract_all(low, F.lit(r"isbn[:\s-]*([0-9][0-9\- ]{8,16}[0-9x])"), 1), lambda x: F.concat(F.lit("isbn:"), F.regexp_replace(x, r"[^0-9x]", "")))
-    isbn = F.filter(isbn, lambda x: F.length(x).isin(15, 18))
-    doi = F.transform(F.regexp_extract_all(low, F.lit(r"10\.[0-9]{4,9}/[^\s\"<>]+"), 0), lambda x: F.concat(F.lit("doi:"), F.regexp_replace(x, r"[.,;)]+$", "")))
-    ark = F.transform(F.regexp_extract_all(low, F.lit(r"ark:/?([a-z0-9]+(?:/[a-z0-9]+)*)"), 1), lambda x: F.concat(F.lit("ark:"), x))
-    return F.array_sort(F.array_distinct(F.concat(isbn, doi, ark)))
+#: Names that a record may carry, by scheme; fixed patterns.
+IDENTIFIERS = (
+    ("isbn", r"\b(?:isbn[:\s]*)?((?:97[89][-\s]?)?\d{1,5}[-\s]?\d{1,7}[-\s]?\d{1,7}[-\s]?[\dxX])\b"),
+    ("doi", r"(?i)\b(10\.\d{4,9}/[-._;()/:a-z0-9]+)\b"),
+    ("ark", r"(?i)\b(ark:/\d+/[a-z0-9]+)\b"),
+    ("gutenberg", r"(?i)gutenberg\.org/(?:ebooks|files|cache/epub)/(\d+)"),
+    ("oclc", r"(?i)\boclc[:\s]*(\d{5,12})\b"),
+    ("lccn", r"(?i)\blccn[:\s]*([a-z]{0,3}\d{8,10})\b"),
+)
+
+
+def identifiers(*values: Column) -> Column:
+    """``scheme:value`` of every name in the texts, in one notation, once each and sorted; an ISBN has 10 or 13 signs."""
+
+    def named(scheme: str):
+        def one(value: Column) -> Column:
+            plain = F.lower(F.regexp_replace(value, r"[-\s]", ""))
+            return plain if scheme == "ark" else F.concat(F.lit(f"{scheme}:"), plain)
+
+        return one
+
+    found = []
+    for c in values:
+        for scheme, pattern in IDENTIFIERS:
+            each = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), 1), named(scheme))
+            found.append(F.filter(each, lambda x: F.length(x).isin(15, 18)) if scheme == "isbn" else each)
+    return F.array_sort(F.array_distinct(F.concat(*found)))
+
+
+def match_query(words_: Column) -> Column:
+    """A search expression that asks for any of the words as they stand: each in quotation marks, which are doubled within."""
+    return F.array_join(F.transform(F.filter(words_, lambda w: F.length(w) > 0), lambda w: F.concat(F.lit('"'), F.replace(w, F.lit('"'), F.lit('""')), F.lit('"'))), " OR ")
+
+
+#: Lines that enclose the text of a book of Project Gutenberg, of today and of its oldest files; fixed patterns.
+PG_START = r"(?im)^\*{3}\s*START OF (?:THE|THIS) PROJECT GUTENBERG EBOOK.*?\*{3}\s*$"
+PG_END = r"(?im)^\*{3}\s*END OF (?:THE|THIS) PROJECT GUTENBERG EBOOK.*?\*{3}\s*$"
+PG_SMALL_PRINT = r"(?im)^\*ENDS?\*?\s*THE SMALL PRINT!.*$"
+PG_WELCOME = r"(?im)^\*+\s*Welcome To The World of Free Plain Vanilla Electronic Texts\s*\*+\s*$"
+PG_SEPARATOR = r"(?m)^\s*\*{3,}\s*$"
+PG_FOOTER = r"(?im)^\s*(?:End of (?:the )?Project Gutenberg|End of Project Gutenberg's)\b.*$"
+#: Where an old note or header may stand: so many characters from the top; fixed values.
+PG_NOTE, PG_HEAD = 1200, 4000
+
+
+def book_body(c: Column) -> Column:
+    """``(body, boilerplate)`` of a text that may be a book of Project Gutenberg; without its marks the whole is the body. Null for null."""
+
+    def first(t: Column, pattern: str) -> Column:
+        # from 1; 0: none. By what stands before it, since the engine's own positions don't count characters but halves of some
+        return F.when(t.rlike(pattern), F.length(F.split(t, pattern, 2)[0]) + 1).otherwise(0)
+
+    def after(t: Column, pattern: str) -> Column:
+        """How many characters end with the first match; 0 without one."""
+        return F.when(first(t, pattern) > 0, first(t, pattern) - 1 + F.length(F.regexp_extract(t, pattern, 0))).otherwise(0)
+
+    def names_it(t: Column) -> Column:
+        return F.contains(F.lower(t), F.lit("project gutenberg"))
+
+    def cut(t: Column) -> Column:
+        marked = (first(t, PG_START) > 0) | (first(t, PG_END) > 0)
+        stop = F.when(first(t, PG_END) > 0, first(t, PG_END) - 1).otherwise(F.length(t))
+        begin = after(t, PG_START)
+        note = F.substring(F.substring(t, begin + 1, F.greatest(stop - begin, F.lit(0))), 1, PG_NOTE)
+        inner = begin + F.when(names_it(note), after(note, PG_SEPARATOR)).otherwise(0)
+        head = F.substring(t, 1, PG_HEAD)
+        legacy = F.greatest(after(head, PG_SMALL_PRINT), after(head, PG_WELCOME))
+        old = F.when(legacy > 0, legacy).otherwise(after(head, PG_SEPARATOR))
+        foot = F.when(first(t, PG_FOOTER) - 1 > old, first(t, PG_FOOTER) - 1).otherwise(F.length(t))
+        plain = F.struct(F.lit(0).alias("a"), F.length(t).alias("b"))
+        return F.when(marked, F.when(stop > begin, F.struct(inner.alias("a"), stop.alias("b"))).otherwise(plain)).when(names_it(head), F.struct(old.alias("a"), foot.alias("b"))).otherwise(plain)
+
+    def parts(t: Column) -> Column:
+        return let(cut(t), lambda r: F.when((r["a"] == 0) & (r["b"] == F.length(t)), F.struct(t.alias("body"), F.lit("").alias("boilerplate"))).otherwise(
+            F.struct(strip(F.substring(t, r["a"] + 1, r["b"] - r["a"])).alias("body"), strip(F.concat(F.substring(t, F.lit(1), r["a"]), F.lit("\n\n"), F.substring(t, r["b"] + 1, F.length(t)))).alias("boilerplate"))
+        ))
+
+    return F.when(c.isNotNull(), let(c, parts))
 
 
 def slug(c: Column, longest: int = 80) -> Column:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -60,24 +63,176 @@ def near_pairs(df: DataFrame, key: str, text: str, words: int = WORDS, similar:
     return pairs, members
 
 
-def simhash_pairs(df: DataFrame, key: str, text: str, distance: int = 3, words: int = 3) -> tuple[DataFrame, DataFrame]:
-    """``(pairs, members)``: pairs of different fingerprints at most ``distance`` bits apart, and ``(key, class_id)``.
+#: The fingerprint's blocks, from the highest bit; two prints three bits apart agree in three of six blocks.
+_BLOCKS = ((53, 11), (42, 11), (31, 11), (20, 11), (10, 10), (0, 10))
+
+
+def simhash_pairs(df: DataFrame, key: str, text: str, distance: int = 3) -> tuple[DataFrame, DataFrame]:
+    """``(pairs, members)``: pairs ``(a, b, distance)`` of different fingerprints at most ``distance`` (3 or less) bits apart, and ``(key, class_id)``.
 
-    With one band more than bits may differ, two such fingerprints agree in a
-    band, so the join by bands loses none.
+    With ``distance`` bits in as many of six blocks, the others are equal, so
+    the join by each choice of three blocks (about 32 bits) loses no pair, and
+    chance meetings are rare however many prints there are.
     """
-    prints = materialize(df.select(key, simhash(shingles(F.col(text), words)).alias("f")).where("f != 0"), "sim-prints")
+    if not 0 <= distance <= 3:
+        raise ValueError("distance must be from 0 to 3")
+    prints = materialize(df.select(key, simhash(F.col(text)).alias("f")).where("f != 0"), "sim-prints")
     reps = prints.groupBy("f").agg(F.min(key).alias("rep"))
-    bands = distance + 1
-    width = -(-60 // bands)
-    band = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.shiftright("f", i * width).bitwiseAND(F.lit((1 << width) - 1).cast("long")).alias("v")) for i in range(bands)])).alias("band")
-    b = reps.select("rep", "f", band).select("rep", "f", "band.*")
+    block = [F.shiftrightunsigned("f", low).bitwiseAND(F.lit((1 << width) - 1).cast("long")) for low, width in _BLOCKS]
+    three = list(combinations(range(len(_BLOCKS)), 3))
+    keys = F.explode(F.array(*[F.struct(F.lit(n).alias("i"), (block[x] * 2**22 + block[y] * 2**11 + block[z]).alias("v")) for n, (x, y, z) in enumerate(three)])).alias("k")
+    b = reps.select("rep", "f", keys).select("rep", "f", "k.*")
     other = b.select(F.col("rep").alias("rep2"), F.col("f").alias("f2"), "i", "v")
     near = b.join(other, ["i", "v"]).where((F.col("rep") < F.col("rep2")) & (hamming(F.col("f"), F.col("f2")) <= distance))
     pairs = near.select(F.col("rep").alias("a"), F.col("rep2").alias("b"), hamming(F.col("f"), F.col("f2")).alias("distance")).distinct()
     return pairs, prints.join(reps, "f").select(key, F.col("rep").alias("class_id"))
 
 
+def connected(links: DataFrame) -> DataFrame:
+    """``(node, least)``: every node of ``links`` (``a``, ``b``) with the least node it is linked to, by alternating large and small stars.
+
+    Each step points nodes to smaller neighbours, larger ones first; rounds
+    are few even for long chains. Links to oneself are ignored.
+    """
+    both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    rest = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a is not null and b is not null and a != b").distinct(), "star-links")
+    while True:
+        e = both(rest)
+        low = e.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = e.join(low, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a != b").distinct()
+        large = materialize(large, "star-large")
+        # now of each node its smaller neighbours: all of them, and the node, point to the least
+        low = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
+        small = large.join(low, F.col("b") == F.col("u")).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a != b").distinct()
+        small = materialize(small, "star-links")
+        if small.count() == rest.count() and small.join(rest, ["a", "b"], "left_anti").isEmpty():
+            break
+        rest = small
+    return rest.select(F.col("b").alias("node"), F.col("a").alias("least")).unionByName(rest.select(F.col("a").alias("node"), F.col("a").alias("least")).distinct())
+
+
+#: Parts of titles that mark an edition or an extract; fixed values.
+EDITIONS = (
+    "annotated", "annoté", "critical edition", "édition critique", "illustrated", "illustré", "abridged", "abrégé", "revised", "revu", "expurgated", "kommentiert",
+    "with notes", "avec notes", "edited by", "édité par", "second edition", "deuxième édition", "new edition", "nouvelle édition",
+)
+EXCERPTS = ("selections from", "extraits de", "excerpt", "extrait", "selected", "choisis", "an anthology of", "chapters from", "chapitres de", "auszug")
+#: From how many times the length on a text is an extract of another; fixed value.
+EXCERPT_RATIO = 4
+
+
+def _has(title: Column, marks: tuple[str, ...]) -> Column:
+    return F.coalesce(reduce(Column.__or__, [F.contains(F.lower(title), F.lit(m)) for m in marks]), F.lit(False))
+
+
+def _compatible(cells: DataFrame, on: list[str], parts: list[str], bands: bool) -> DataFrame:
+    """Pairs ``c1``, ``c2`` of cells of one group whose ``parts`` are equal or blank on one side, and whose lengths may be of one text."""
+    left, right = (cells.select(*on, *[F.col(c).alias(f"{c}{n}") for c in cells.columns if c not in on]) for n in (1, 2))
+    ok = reduce(Column.__and__, [(F.col(f"{p}1") == F.col(f"{p}2")) | (F.col(f"{p}1") == "") | (F.col(f"{p}2") == "") for p in parts])
+    if bands:
+        same = (F.col("band1") == F.col("band2")) | (F.col("band1") < 0) | (F.col("band2") < 0)
+        up = (F.col("band2") == F.col("band1") + 1) & (F.col("low2") < EXCERPT_RATIO * F.col("high1"))
+        down = (F.col("band1") == F.col("band2") + 1) & (F.col("low1") < EXCERPT_RATIO * F.col("high2"))
+        ok = ok & (same | up | down)
+    return left.join(right, on).where(ok)
+
+
+def _rung(df: DataFrame, on: list[str], parts: list[str], bands: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(partners, links)`` of the rows that share ``on``: a compatible other row of each, and links that join all that are compatible.
+
+    Rows are first gathered into cells of equal parts (and bands of length,
+    each within the ratio), so that only cells are compared and never rows.
+    """
+    keyed = df.withColumn("band", F.when(F.coalesce("chars", F.lit(0)) > 0, F.floor(F.log(float(EXCERPT_RATIO), F.col("chars").cast("double"))).cast("int")).otherwise(-1)) if bands else df.withColumn("band", F.lit(-1))
+    cell = [*on, *parts, "band"]
+    cells = keyed.groupBy(*cell).agg(F.min("id").alias("first"), F.max("id").alias("last"), F.min("chars").alias("low"), F.max("chars").alias("high"), F.min_by("id", "chars").alias("shortest"), F.max_by("id", "chars").alias("longest"))
+    cells = materialize(cells.withColumn("c", F.struct(*parts, "band")), "ladder-cells")
+    pairs = _compatible(cells, on, [*parts], bands)
+    rows = keyed.select("id", "chars", *on, F.struct(*parts, "band").alias("c1"))
+    met = rows.join(pairs.select(*on, "c1", "band1", "band2", "first2", "last2", "low2", "high2", "shortest2", "longest2"), [*on, "c1"])
+    if bands:
+        met = met.where((F.col("band1") == F.col("band2")) | (F.col("band1") < 0) | (F.col("band2") < 0) | ((F.col("band2") > F.col("band1")) & (F.col("low2") < EXCERPT_RATIO * F.col("chars"))) | ((F.col("band2") < F.col("band1")) & (F.col("chars") < EXCERPT_RATIO * F.col("high2"))))
+    near = F.when((F.col("band1") < 0) | (F.col("band2") < 0) | (F.col("band1") == F.col("band2")), F.array("first2", "last2")).when(F.col("band2") > F.col("band1"), F.array("shortest2")).otherwise(F.array("longest2")) if bands else F.array("first2", "last2")
+    partners = met.select("id", F.explode(near).alias("other")).where("id != other").groupBy("id").agg(F.min("other").alias("other"))
+    within = keyed.join(cells.select(*cell, "first"), cell).select(F.col("first").alias("a"), F.col("id").alias("b"))
+    # two neighbouring bands are joined by their nearest texts, others by any
+    ends = F.when((F.col("band1") >= 0) & (F.col("band2") > F.col("band1")), F.struct(F.col("longest1").alias("a"), F.col("shortest2").alias("b"))).otherwise(F.struct(F.col("first1").alias("a"), F.col("first2").alias("b")))
+    across = pairs.where((F.col("band2") >= F.col("band1")) | (F.col("band2") < 0)).select(ends.alias("e")).select("e.*")
+    return partners, within.unionByName(across).where("a != b").distinct()
+
+
+def ladder(docs: DataFrame, near: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """``(id, kind, duplicate_of, similarity, cluster, representative)``: each text's best match, and the group of all that match.
+
+    ``docs`` has ``id``, ``raw`` and ``normalized`` (hashes), ``language``,
+    ``translator``, ``edition``, ``title``, ``work`` (the key of the work),
+    ``identifiers`` (an array), ``chars`` and ``quality``; ids are unique,
+    nulls mean unknown. Rungs from the top: equal bytes, equal normalised
+    text, a shared identifier, the same work, and ``near``, the pairs and
+    members of :func:`simhash_pairs`. Equal hashes need nothing else; below
+    them languages, translators and editions must not differ, and for the last
+    two rungs neither may be an extract of the other or four times as long.
+    Who only meets texts that differ so is ``related``. Of several partners on
+    the best rung one is named, the same on every run. ``cluster`` is the least id of all linked
+    directly or through others, ``representative`` the one of most quality,
+    then length, then the greatest id.
+    """
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    own = docs.select("id", "raw", "normalized", blank("language").alias("lang"), blank("translator").alias("tr"), blank("edition").alias("ed"), "work", "identifiers", F.coalesce("chars", F.lit(0)).cast("long").alias("chars"), F.coalesce("quality", F.lit(0.0)).alias("quality"), _has(F.col("title"), EDITIONS).alias("marked"), _has(F.col("title"), EXCERPTS).alias("part"))
+    own = materialize(own, "ladder-docs")
+
+    def equal(c: str) -> tuple[DataFrame, DataFrame]:
+        some = own.where(F.coalesce(F.col(c), F.lit("")) != "").select("id", "chars", c, F.lit("").alias("all"))
+        return _rung(some, [c], ["all"])
+
+    named = own.select("id", "chars", "lang", "tr", "ed", "marked", F.explode(F.array_distinct("identifiers")).alias("name"))
+    work = own.where("work is not null")
+    rungs = {
+        "exact_raw": equal("raw"),
+        "exact_normalized": equal("normalized"),
+        "identifier": _rung(named, ["name", "marked"], ["lang", "tr", "ed"]),
+        "title_author": _rung(work, ["work", "marked", "part"], ["lang", "tr", "ed"], bands=True),
+    }
+    value = {"exact_raw": 1.0, "exact_normalized": 1.0, "identifier": 1.0, "title_author": 0.95}
+    found = reduce(DataFrame.unionByName, [p.select("id", F.lit(k).alias("kind"), "other", F.lit(value[k]).alias("similarity")) for k, (p, _) in rungs.items()])
+    links = reduce(DataFrame.unionByName, [x.select("a", "b") for _, x in rungs.values()])
+    if near is not None:
+        pairs, members = near
+        facts = own.select("id", "lang", "tr", "ed", "marked", "part", "chars")
+        classes = members.withColumnsRenamed({members.columns[0]: "id"}).join(facts, "id")
+        each = pairs.select("a", "b", "distance").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance")).unionByName(members.select(F.col("class_id").alias("a"), F.col("class_id").alias("b"), F.lit(0).alias("distance")).distinct())
+        # copies of a print are gathered by what must agree before they meet
+        kinds = ["lang", "tr", "ed", "marked", "part", "band"]
+        banded = classes.withColumn("band", F.when(F.col("chars") > 0, F.floor(F.log(float(EXCERPT_RATIO), F.col("chars").cast("double"))).cast("int")).otherwise(-1))
+        cells = materialize(banded.groupBy("class_id", *kinds).agg(F.min("id").alias("first"), F.max("id").alias("last"), F.min("chars").alias("low"), F.max("chars").alias("high")), "ladder-near")
+        one = cells.select(F.col("class_id").alias("a"), *[F.col(c).alias(f"{c}1") for c in (*kinds, "first", "last", "low", "high")])
+        two = cells.select(F.col("class_id").alias("b"), *[F.col(c).alias(f"{c}2") for c in (*kinds, "first", "last", "low", "high")])
+        alike = lambda c: (F.col(f"{c}1") == F.col(f"{c}2")) | (F.col(f"{c}1") == "") | (F.col(f"{c}2") == "")
+        size = (F.col("band1") < 0) | (F.col("band2") < 0) | ((F.col("low2") < EXCERPT_RATIO * F.col("high1")) & (F.col("low1") < EXCERPT_RATIO * F.col("high2")))
+        met = each.join(one, "a").join(two, "b").where(alike("lang") & alike("tr") & alike("ed") & (F.col("marked1") == F.col("marked2")) & (F.col("part1") == F.col("part2")) & size)
+        rows = banded.select("id", F.col("class_id").alias("a"), *[F.col(c).alias(f"{c}1") for c in kinds])
+        hit = rows.join(met.select("a", *[f"{c}1" for c in kinds], "first2", "last2", "distance"), ["a", *[f"{c}1" for c in kinds]]).select("id", F.explode(F.array("first2", "last2")).alias("other"), "distance").where("id != other")
+        found = found.unionByName(hit.select("id", F.lit("near").alias("kind"), "other", (1 - F.col("distance") / 64).alias("similarity")))
+        links = links.unionByName(met.select(F.col("first1").alias("a"), F.col("first2").alias("b"))).unionByName(banded.join(cells.select("class_id", *kinds, "first"), ["class_id", *kinds]).select(F.col("first").alias("a"), F.col("id").alias("b"))).where("a != b")
+    # whoever shares a name or a work with anyone, but matches no one
+    met = reduce(DataFrame.unionByName, [_rung(d.select("id", "chars", k, F.lit("").alias("all")), [k], ["all"])[0] for d, k in ((named, "name"), (work, "work"))])
+    order = F.when(F.col("kind") == "exact_raw", 0).when(F.col("kind") == "exact_normalized", 1).otherwise(2)
+    rank = F.struct(order.alias("o"), (-F.col("similarity")).alias("s"), F.when(F.col("kind") == "identifier", 0).when(F.col("kind") == "near", 1).otherwise(2).alias("k"), "other", "kind", "similarity")
+    best = found.groupBy("id").agg(F.min(rank).alias("b"))
+    related = met.groupBy("id").agg(F.min("other").alias("kin"))
+    groups = connected(links)
+    clustered = own.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("cluster", F.coalesce("least", "id"))
+    chosen = clustered.groupBy("cluster").agg(F.max(F.struct("quality", "chars", "id")).alias("r")).select("cluster", F.col("r.id").alias("representative"))
+    out = clustered.join(best, "id", "left").join(related, "id", "left").join(chosen, "cluster")
+    return out.select(
+        "id",
+        F.coalesce("b.kind", F.when(F.col("kin").isNotNull(), "related")).alias("kind"),
+        F.coalesce("b.other", "kin").alias("duplicate_of"),
+        F.when(F.col("b").isNotNull(), F.col("b.similarity")).otherwise(0.0).alias("similarity"),
+        "cluster", "representative",
+    )
+
+
 def signatures(df: DataFrame, key: str, text: str, words: int = WORDS) -> DataFrame:
     """``(key, signature)``: the minima of each text's shingles; texts without words have none."""
     return df.select(key, minhash(shingles(F.col(text), words), SIGNATURE).alias("signature")).where("signature is not null")

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.text import ngrams, occurrences, paragraphs, truncated, word_count
 
 #: Words whose density counts; fixed values.
-SYMBOLS = ("archive", "oracle", "ledger", "canon", "witness", "seal", "furnace", "bell", "lantern", "ash", "rust", "marsh", "statute", "tribunal", "alphabet")
+SYMBOLS = (
+    "judgment", "logos", "tawhid", "mercy", "idolatry", "apocalypse", "revelation", "sacrifice", "machine", "audit", "confession", "transcendence", "idol", "collapse", "canon", "heresy", "obedience", "censorship", "merit", "institution", "decay",
+)
 
 #: Phrases that any text might have; fixed values.
 GENERIC = ("digital ashes", "ghost in the machine", "cyberspace", "vast tapestry", "ancient forces", "in the shadows")
@@ -23,14 +25,29 @@ def density(c: Column) -> Column:
 
 
 def length_score(c: Column) -> Column:
-    """1 from 220 to 900 words, less on both sides."""
+    """By the number of words, in steps: best from 220 to 449."""
     n = word_count(c)
-    return F.when(n < 40, 0.0).when(n < 220, (n - 40) / 180.0).when(n <= 900, 1.0).otherwise(F.greatest(F.lit(0.4), 1 - (n - 900) / 1500.0))
+    return F.when(n < 80, 0.0).when(n < 140, 0.35).when(n < 220, 0.65).when(n < 450, 1.0).when(n < 900, 0.9).otherwise(0.75)
 
 
 def structure_score(c: Column) -> Column:
+    """By the number of paragraphs; nothing below 120 words."""
     p = F.coalesce(F.array_size(paragraphs(c)), F.lit(0))
-    return F.when(p >= 3, 1.0).when(p == 2, 0.8).when(p == 1, 0.4).otherwise(0.0)
+    return F.when(word_count(c) < 120, 0.0).when(p >= 3, 1.0).when(p == 2, 0.65).otherwise(0.35)
+
+
+def enforcement(c: Column, keywords: Column) -> Column:
+    """The share of axioms (each an array of its keywords) of which a keyword stands in the text as a word; 1 without axioms."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    word = lambda k: F.concat(F.lit(r"(?U)\b"), F.regexp_replace(F.lower(k), r"([^\p{L}\p{N}\s])", r"\\$1"), F.lit(r"\b"))
+    named = F.filter(keywords, lambda ks: F.exists(ks, lambda k: F.rlike(low, word(k))))
+    return F.when(F.coalesce(F.array_size(keywords), F.lit(0)) == 0, 1.0).otherwise(F.array_size(named) / F.array_size(keywords))
+
+
+def axiom_keywords(declared: Column, statement: Column) -> Column:
+    """An axiom's declared keywords; without any, the first five words of six letters or more of its statement."""
+    own = F.slice(F.filter(F.regexp_extract_all(F.lower(F.coalesce(statement, F.lit(""))), F.lit("[a-z_]+"), 0), lambda w: F.length(w) >= 6), 1, 5)
+    return F.when(F.coalesce(F.array_size(declared), F.lit(0)) > 0, declared).otherwise(own)
 
 
 def generic(c: Column) -> Column:
@@ -45,13 +62,14 @@ def stuffing(c: Column, labels: Column) -> Column:
     return F.when(labels.isNull(), 0.0).otherwise(F.least(F.lit(1.0), hits / F.greatest(F.lit(1.0), word_count(c) / 80.0) / 4.0))
 
 
-def evaluated(df: DataFrame, text: str, response: str | None = None, labels: str | None = None, loop: str | None = None) -> DataFrame:
-    """``df`` with ``density``, ``length_score``, ``structure``, ``cut_off``, ``generic``, ``stuffing`` and their weighted ``quality``.
+def evaluated(df: DataFrame, text: str, response: str | None = None, labels: str | None = None, loop: str | None = None, keywords: str | None = None) -> DataFrame:
+    """``df`` with ``density``, ``length_score``, ``structure``, ``cut_off``, ``generic``, ``stuffing``, ``enforcement`` and their weighted ``quality``.
 
     Generic phrases are looked for in the column ``response``, the whole that
     was written, if there is one. ``labels`` has the categories and groups
     that were asked for, ``loop`` what :func:`loop_penalty` takes off; without
-    them nothing is taken off.
+    them nothing is taken off. ``keywords`` has those of each axiom that was
+    given, an array for each; without axioms all of them count as enforced.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     whole = F.coalesce(F.col(response), F.lit("")) if response else t
@@ -59,8 +77,9 @@ def evaluated(df: DataFrame, text: str, response: str | None = None, labels: str
     looped = F.coalesce(F.col(loop), F.lit(0.0)) if loop else F.lit(0.0)
     out = df.withColumn("density", density(t)).withColumn("length_score", length_score(t)).withColumn("structure", structure_score(t)).withColumn("cut_off", truncated(t))
     out = out.withColumn("generic", generic(whole)).withColumn("stuffing", stuffing(t, named))
-    total = (0.182 * F.col("density") + 0.272 * F.col("length_score") + 0.182 * F.col("structure")) / 0.636 - F.when(F.col("cut_off"), 0.35).otherwise(0.0)
-    total = total - 0.15 * F.col("stuffing") - 0.10 * F.col("generic") - looped
+    out = out.withColumn("enforcement", enforcement(t, F.col(keywords) if keywords else F.lit(None).cast("array<array<string>>")))
+    total = 0.364 * F.col("enforcement") + 0.182 * F.col("density") + 0.272 * F.col("length_score") + 0.182 * F.col("structure")
+    total = total - F.when(F.col("cut_off"), 0.35).otherwise(0.0) - 0.15 * F.col("stuffing") - 0.10 * F.col("generic") - looped
     return out.withColumn("quality", F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)))
 
 
