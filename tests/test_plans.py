@@ -3,7 +3,7 @@ import importlib
 import oracle
 import pytest
 
-MODULES = [importlib.import_module(f"tessera.plans.{m}") for m in ("relational", "texts", "graphs", "planned", "p6")]
+MODULES = [importlib.import_module(f"tessera.plans.{m}") for m in ("relational", "texts", "graphs", "planned", "records", "p6")]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
 
