@@ -57,7 +57,7 @@ def pln_policy(spark: SparkSession, d: str) -> DataFrame:
     return planner.policy(r, "o_orderkey", "o_orderpriority", "o_totalprice").select("o_orderkey", "exclusion_reason")
 
 
-@query()
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def txt_json_object(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_id", F.concat(F.lit("Answer:\n```json\n"), F.col("props"), F.lit("\n``` done")).alias("t"))
     return e.select("event_id", F.get_json_object(json_object("t"), "$.k").alias("k"))

@@ -95,13 +95,17 @@ def txt_clean_unicode(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).where("text is not null").select("doc_id", F.md5(X.clean_unicode(X.repair_mojibake(F.col("text")))).alias("digest"))
 
 
-@query()
+@query(r"""WITH c AS (SELECT DISTINCT id, replace(content, chr(13) || chr(10), chr(10)) t FROM chunks), l AS (SELECT id, unnest(string_split(t, chr(10))) x FROM c WHERE t IS NOT NULL), k AS (SELECT id, x, regexp_replace(x, '^[\s\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{3000}]+|[\s\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{3000}]+$', '', 'g') k FROM l),
+b AS (SELECT id, k FROM k WHERE length(k) BETWEEN 1 AND 80 GROUP BY 1, 2 HAVING count(*) >= 5 AND NOT (regexp_matches(k, '[.!?]$') AND len(string_split_regex(k, '\s+')) > 6)),
+r AS (SELECT k.id, sum(length(x) + 1) FILTER (WHERE b.k IS NOT NULL) gone, count(*) n, count(b.k) g FROM k LEFT JOIN b ON b.id = k.id AND b.k = k.k GROUP BY 1)
+SELECT DISTINCT c.id, CASE WHEN t IS NOT NULL THEN coalesce(CAST(gone AS INTEGER), 0) - CASE WHEN n = g THEN 1 ELSE 0 END END AS removed FROM c LEFT JOIN r ON r.id = c.id""")
 def txt_repeated_lines(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "chunks").select("id", "content").distinct()
     return c.select("id", (F.length(X.one_newline(F.col("content"))) - F.length(X.strip_repeated_lines(F.col("content")))).alias("removed"))
 
 
-@query()
+@query(r"""WITH l AS (SELECT doc_id, list_transform(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), lambda x: regexp_replace(x, '^[\s\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{3000}]+|[\s\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{3000}]+$', '', 'g')) l FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, list_filter(l, lambda x: regexp_matches(x, '(?i)^(chapter|chapitre|kapitel|cap[ií]tulo|capitolo|caput|book|livre|buch|libro|liber|part|partie|teil|parte)\s+[ivxlcdm0-9]+') OR (upper(x) = x AND regexp_matches(x, '\p{Lu}') AND length(x) BETWEEN 3 AND 90))[1:200] AS headings FROM l""")
 def txt_headings(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).where("text is not null").select("doc_id", X.headings(F.col("text")).alias("headings"))
 
@@ -231,7 +235,10 @@ def agg_motif_window(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.motif_counts(f, "id", "created_at", "fragment", 20)
 
 
-@query()
+@query(r"""WITH f AS (SELECT DISTINCT id, fragment, created_at FROM cycles WHERE fragment IS NOT NULL), w AS (SELECT id, fragment, created_at, regexp_extract_all(lower(fragment), '[a-z0-9'']+') w FROM f),
+g AS (SELECT DISTINCT id, unnest([array_to_string(w[i:i+2], ' ') for i in range(1, len(w) - 1)]) g FROM w), l AS (SELECT id FROM f ORDER BY created_at DESC, id DESC LIMIT 20),
+n AS (SELECT g, count(*) n FROM g WHERE id IN (SELECT id FROM l) GROUP BY 1 HAVING count(*) > 6), s AS (SELECT id, sum(n - 6) e FROM g JOIN n USING (g) GROUP BY 1)
+SELECT f.id, CAST(floor(least(0.35::DOUBLE, 0.07::DOUBLE * coalesce(e, 0)) * 1e6 + 0.5) AS BIGINT) AS penalty FROM f LEFT JOIN s ON s.id = f.id""")
 def evl_loop_penalty(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "cycles").where("fragment is not null").select("id", "fragment", "created_at").distinct()
     return evaluate.loop_penalty(f, "id", "fragment", evaluate.motif_counts(f, "id", "created_at", "fragment", 20), 20).select("id", micro("penalty").alias("penalty"))
@@ -362,11 +369,20 @@ def hybrid_results(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
     q = v.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
     near = retrieval.knn(q, v, "doc_id", "embedding", over)
     lexical = retrieval.bm25(_title_queries(spark, d), _docs(spark, d), "doc_id", "text", over)
-    facts = table(spark, d, "documents").select("doc_id", F.when(F.col("domain") == "law", 1.0).otherwise(0.0).alias("domain_prior"), F.lit(1.0).alias("source_weight"))
+    facts = table(spark, d, "documents").select("doc_id", F.when(F.col("domain") == "law", 1.0).otherwise(0.0).alias("domain_prior"), (F.col("doc_id") % 4 / 4.0).alias("source_weight"), (F.col("doc_id") % 3 / 2.0).alias("severity"))
     return retrieval.hybrid(lexical, near, "doc_id", facts, k)
 
 
-@query()
+@query(rf"""WITH t AS (SELECT doc_id, unnest({_WORDS.format(t='text')}) term FROM documents), p AS (SELECT doc_id, term, count(*) tf FROM t GROUP BY 1, 2), dl AS (SELECT doc_id, sum(tf) dl FROM p GROUP BY 1), st AS (SELECT count(*) n, avg(dl) av FROM dl),
+q AS (SELECT DISTINCT doc_id query_id, unnest({_WORDS.format(t='title')}) term FROM documents WHERE doc_id % 20 = 0), df AS (SELECT term, count(*) df FROM p WHERE term IN (SELECT term FROM q) GROUP BY 1),
+v AS (SELECT p.doc_id, p.term, CAST(floor(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / av)) * 1e6 + 0.5) AS BIGINT) s FROM p JOIN df USING (term) JOIN dl USING (doc_id), st),
+r AS (SELECT query_id, doc_id, CAST(sum(s) AS BIGINT) score FROM q JOIN v USING (term) GROUP BY 1, 2), lx AS (SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) k FROM r) WHERE k <= 50),
+n AS (SELECT vec_id, embedding::DOUBLE[] e FROM embeddings), sm AS (SELECT a.vec_id query_id, n.vec_id doc_id, list_dot_product(a.e, n.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(n.e, n.e))) s FROM n a, n WHERE a.vec_id % 20 = 0),
+nr AS (SELECT query_id, doc_id, s FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) k FROM sm) WHERE k <= 50),
+b AS (SELECT coalesce(lx.query_id, nr.query_id) query_id, coalesce(lx.doc_id, nr.doc_id) doc_id, score, s FROM lx FULL JOIN nr ON nr.query_id = lx.query_id AND nr.doc_id = lx.doc_id),
+m AS (SELECT *, min(score) OVER (PARTITION BY query_id) lo, max(score) OVER (PARTITION BY query_id) hi FROM b),
+f AS (SELECT query_id, m.doc_id, CAST(floor((0.35::DOUBLE * coalesce(s, 0) + 0.25::DOUBLE * CASE WHEN score IS NULL THEN 0 WHEN hi = lo THEN 1 ELSE (score - lo) / (hi - lo)::DOUBLE END + 0.2::DOUBLE * CASE WHEN domain = 'law' THEN 1 ELSE 0 END + 0.15::DOUBLE * CASE WHEN m.doc_id % 4 = 0 THEN 1.0::DOUBLE ELSE (m.doc_id % 4) / 4.0::DOUBLE END + 0.05::DOUBLE * (m.doc_id % 3) / 2.0::DOUBLE) * 1e6 + 0.5) AS BIGINT) score FROM m LEFT JOIN documents d ON d.doc_id = m.doc_id)
+SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) k FROM f) WHERE k <= 10""")
 def ret_hybrid(spark: SparkSession, d: str) -> DataFrame:
     return hybrid_results(spark, d)
 
@@ -379,7 +395,9 @@ def ret_mmr(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.mmr(pool, "vec_id", "embedding", "similarity", 5)
 
 
-@query()
+@query("""WITH n AS (SELECT vec_id, embedding::DOUBLE[] v FROM embeddings), s AS (SELECT q.vec_id query_id, n.vec_id, n.v, list_dot_product(q.v, n.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(n.v, n.v))) s FROM n q, n WHERE q.vec_id % 20 = 0),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) k FROM s) WHERE k <= 10)
+SELECT a.query_id, a.vec_id, CAST(floor((1 - coalesce(max(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))), 0)) * 1e6 + 0.5) AS BIGINT) AS novelty FROM t a LEFT JOIN t b ON b.query_id = a.query_id AND b.k < a.k GROUP BY 1, 2""")
 def ret_novelty(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings")
     q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
