@@ -109,3 +109,53 @@ def kmeans(vectors: DataFrame, key: str, vector: str, k: int, seed: int = 7, rou
         if moved < 1e-6:
             break
     return assigned(centres).drop("v")
+
+
+#: Vectors among which the number of clusters is chosen, the first by the key's hash; a parameter with this default.
+SILHOUETTE_SAMPLE = 2000
+
+
+def silhouette(points: np.ndarray, labels: np.ndarray) -> float:
+    """How much nearer points are to their own cluster than to the next one, by cosine; 0 for a cluster of one, mean of all."""
+    gap = 1 - points @ points.T
+    names = np.unique(labels)
+    if len(names) < 2:
+        return 0.0
+    sums = np.stack([gap[:, labels == c].sum(axis=1) for c in names], axis=1)
+    sizes = np.array([(labels == c).sum() for c in names])
+    own = np.searchsorted(names, labels)
+    rows = np.arange(len(points))
+    inner = sums[rows, own] / np.maximum(sizes[own] - 1, 1)
+    others = sums / sizes
+    others[rows, own] = np.inf
+    outer = others.min(axis=1)
+    score = np.where(sizes[own] > 1, (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-12), 0.0)
+    return float(score.mean())
+
+
+def _local_kmeans(points: np.ndarray, k: int, seed: int, rounds: int = 25) -> np.ndarray:
+    rng, centres = np.random.default_rng(seed), [points[0]]
+    while len(centres) < k:
+        gap = np.clip(1 - (points @ np.array(centres).T).max(axis=1), 0, None)
+        centres.append(points[rng.choice(len(points), p=gap / gap.sum())] if gap.sum() > 0 else points[len(centres)])
+    centres = np.array(centres)
+    for _ in range(rounds):
+        at = (points @ centres.T).argmax(axis=1)
+        sums = np.array([points[at == c].sum(axis=0) if (at == c).any() else centres[c] for c in range(k)])
+        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+    return (points @ centres.T).argmax(axis=1)
+
+
+def kmeans_auto(vectors: DataFrame, key: str, vector: str, least: int = 2, most: int = 8, seed: int = 7, sample: int = SILHOUETTE_SAMPLE) -> tuple[int, DataFrame]:
+    """``(k, clusters)``: the number of clusters from ``least`` to ``most`` with the best silhouette, the smaller of equals, and all vectors clustered so.
+
+    The number is chosen by clustering a bounded sample alone; then every
+    vector is clustered, in as many rounds as one number needs.
+    """
+    drawn = vectors.where(F.size(vector) > 0).select(key, unit(F.col(vector)).alias("v")).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(sample).collect()
+    points, best = np.array([r["v"] for r in drawn]), (-2.0, least)
+    for k in range(least, min(most, len(drawn) - 1) + 1):
+        score = silhouette(points, _local_kmeans(points, k, seed))
+        if score > best[0] + 1e-12:
+            best = (score, k)
+    return best[1], kmeans(vectors, key, vector, best[1], seed)

@@ -157,7 +157,9 @@ def ana_divergence(spark: SparkSession, d: str) -> DataFrame:
     return own.crossJoin(F.broadcast(every)).select("source", micro(divergence(F.col("own"), F.col("every"))).alias("divergence"))
 
 
-@query()
+@query("""WITH v AS (SELECT vec_id, label, generate_subscripts(embedding, 1) i, unnest(embedding)::DOUBLE x FROM embeddings), m AS (SELECT label, i, avg(x) x FROM v WHERE label IN (0, 1) GROUP BY 1, 2),
+u AS (SELECT label, i, x / sqrt(sum(x * x) OVER (PARTITION BY label)) x FROM m), d AS (SELECT i, sum(CASE WHEN label = 0 THEN x ELSE -x END) x FROM u GROUP BY 1), a AS (SELECT i, x / sqrt(sum(x * x) OVER ()) x FROM d),
+r AS (SELECT v.vec_id, any_value(label) l, sum(v.x * a.x) / sqrt(sum(v.x * v.x)) c FROM v JOIN a ON a.i = v.i GROUP BY 1) SELECT l AS label, 'order' AS name, CAST(floor(avg(c) * 1e4 + 0.5) AS BIGINT) AS value FROM r GROUP BY 1""")
 def ana_readings(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings")
     axis = analytics.axis_vector(v, "embedding", F.col("label") == 0, F.col("label") == 1).withColumn("name", F.lit("order"))
@@ -165,12 +167,17 @@ def ana_readings(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("label", "name").agg(F.avg("value").alias("value")).select("label", "name", F.floor(F.col("value") * 1e4 + 0.5).cast("long").alias("value"))
 
 
-@query()
+@query("""WITH i AS (SELECT d.doc_id, source, domain, embedding FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id), v AS (SELECT source, generate_subscripts(embedding, 1) i, unnest(embedding)::DOUBLE x FROM i),
+c AS (SELECT source, domain, count(*) n FROM i WHERE domain IS NOT NULL GROUP BY 1, 2)
+SELECT source, 'mean' AS kind, CAST(i - 1 AS VARCHAR) AS name, CAST(floor(avg(x) * 1e6 + 0.5) AS BIGINT) AS value FROM v GROUP BY 1, i UNION ALL
+SELECT source, 'share', domain, CAST(floor(n / sum(n) OVER (PARTITION BY source) * 1e6 + 0.5) AS BIGINT) FROM c""")
 def ana_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     i = table(spark, d, "documents").select("doc_id", "source", "domain").join(v, "doc_id")
     f = analytics.fingerprint(i, "source", "embedding", "domain")
-    return f.select("source", F.size("mean").alias("dimensions"), F.size("shares").alias("domains"))
+    mean = f.select("source", F.posexplode("mean").alias("i", "x")).select("source", F.lit("mean").alias("kind"), F.col("i").cast("string").alias("name"), "x")
+    share = f.select("source", F.explode("shares").alias("name", "x")).select("source", F.lit("share").alias("kind"), "name", "x")
+    return mean.unionByName(share).select("source", "kind", "name", F.floor(F.col("x") * 1e6 + 0.5).cast("long").alias("value"))
 
 
 @query("""WITH o(a, b, reason) AS (VALUES ('law', 'memory', 'letter against trace'), ('astronomy', 'agriculture', 'sky against soil')), n AS (SELECT DISTINCT source, domain FROM documents WHERE domain IS NOT NULL)
@@ -195,7 +202,8 @@ def ana_unique_statements(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ana_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.kmeans(table(spark, d, "embeddings"), "vec_id", "embedding", 8).groupBy("cluster").agg(F.count("*").alias("members"))
+    k, got = analytics.kmeans_auto(table(spark, d, "embeddings"), "vec_id", "embedding")
+    return got.select("vec_id", "cluster", micro("distance").alias("distance"), F.lit(k).alias("clusters"))
 
 
 @query("""WITH t AS (SELECT s, count(*) AS n FROM (SELECT DISTINCT document_id, unnest(subjects) s FROM corpus_items) GROUP BY 1) SELECT s AS tag, n FROM t ORDER BY n DESC, s LIMIT 20""")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.records import json_object, line_diff
+from ..functions.text import STOP_WORDS
 from ..operators import planner
 from ..sources.tables import table
 
@@ -43,7 +44,10 @@ def pln_domains(spark: SparkSession, d: str) -> DataFrame:
     return _domains(spark, d)
 
 
-@query()
+@query(rf"""WITH {_TERMS}, a AS (SELECT id, t FROM w WHERE length(t) >= 3 AND t NOT IN ({', '.join(repr(x) for x in STOP_WORDS)})), h(domain, position, term) AS (VALUES {', '.join(str(x) for x in _HINTS)}), dm AS (SELECT DISTINCT id, domain FROM a JOIN h ON term = t),
+e AS (SELECT DISTINCT unnest(string_split_regex(lower(title), '\s+')) t FROM sources), m AS (SELECT DISTINCT lower(unnest(subjects)) t FROM corpus_items)
+SELECT DISTINCT id AS query_id, unnest(['LEXICAL', 'SEMANTIC', 'DOMAIN']) AS strategy FROM a UNION SELECT id, 'ENTITY' FROM a WHERE t IN (SELECT t FROM e) UNION SELECT id, 'MOTIF' FROM a WHERE t IN (SELECT t FROM m)
+UNION SELECT id, 'CONTRADICTION' FROM a WHERE t IN ({', '.join(repr(x) for x in planner.CUES)}) UNION SELECT x.id, 'CONTRADICTION' FROM dm x JOIN dm y ON y.id = x.id AND x.domain = 'law' AND y.domain = 'faith'""")
 def pln_strategies(spark: SparkSession, d: str) -> DataFrame:
     subjects = table(spark, d, "corpus_items").select(F.explode("subjects").alias("term")).select(F.lower("term").alias("term"))
     titles = table(spark, d, "sources").select(F.explode(F.split(F.lower("title"), r"\s+")).alias("term"))
@@ -65,4 +69,4 @@ def txt_json_object(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def txt_diff(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "cycles").select("id", "response", "fragment").distinct().select("id", F.length(line_diff("response", "fragment")).alias("size"))
+    return table(spark, d, "cycles").select("id", "response", "fragment").distinct().select("id", line_diff("response", "fragment").alias("diff"))
