@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 #: First bytes of a file, in hexadecimal, and what they mean; fixed values.
 MAGIC = (("25504446", "application/pdf"), ("504B0304", "application/zip"), ("1F8B", "application/gzip"), ("425A68", "application/x-bzip2"), ("3C3F786D6C", "application/xml"), ("EFBBBF", "text/plain"), ("7F454C46", "forbidden"), ("4D5A", "forbidden"))
 #: Elements of a page that hold no text of it; fixed values.
-DROPPED = ("script", "style", "nav", "header", "footer", "aside", "form", "noscript", "svg", "template")
+DROPPED = ("script", "style", "noscript", "nav", "header", "footer", "aside", "form", "svg", "iframe")
 _BLOCKS = {"p", "div", "section", "article", "li", "ul", "ol", "table", "tr", "br", "hr", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6"}
 
 
@@ -75,11 +75,33 @@ def ordered_text(pages: DataFrame, key: str, position: str, text: str) -> DataFr
     return pages.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n\n").alias("text"))
 
 
-def clean_wikitext(c: Column, depth: int = 8) -> Column:
-    """Wiki markup as text: nested templates from the inside out, notes, tables, links and emphasis."""
-    t = F.regexp_replace(c, r"(?s)<!--.*?-->|<ref[^>]*/>|<ref[^>]*>.*?</ref>", "")
-    for _ in range(depth):
-        t = F.regexp_replace(t, r"\{\{[^{}]*\}\}", "")
+@F.pandas_udf(StringType())
+def without_templates(s: pd.Series) -> pd.Series:
+    """Wiki markup without its templates, however deep they lie in one another; an unclosed one stays."""
+
+    def one(t: str | None) -> str | None:
+        if t is None or "{{" not in t:
+            return t
+        kept: list[list[str]] = [[]]  # what is kept so far, outside and within each open template
+        at = 0
+        for m in re.finditer(r"\{\{|\}\}", t):
+            kept[-1].append(t[at : m.start()])
+            at = m.end()
+            if m[0] == "{{":
+                kept.append([])
+            elif len(kept) > 1:
+                kept.pop()
+            else:
+                kept[0].append("}}")
+        kept[-1].append(t[at:])
+        return "{{".join("".join(x) for x in kept)
+
+    return s.map(one)
+
+
+def clean_wikitext(c: Column) -> Column:
+    """Wiki markup as text: without templates, notes, tables, links and emphasis."""
+    t = without_templates(F.regexp_replace(c, r"(?s)<!--.*?-->|<ref[^>]*/>|<ref[^>]*>.*?</ref>", ""))
     t = F.regexp_replace(t, r"(?s)\{\|.*?\|\}", "")
     t = F.regexp_replace(t, r"\[\[(?:[^\]|]*\|)?([^\]|]*)\]\]", "$1")
     t = F.regexp_replace(t, r"\[https?://\S+ ?([^\]]*)\]", "$1")
@@ -98,24 +120,41 @@ def dump_index(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("value").rlike(r"^\d+:\d+:")).select(p[0].cast("long").alias("offset"), p[1].cast("long").alias("page_id"), p[2].alias("title"))
 
 
-def byte_ranges(index: DataFrame, size: int | None = None) -> DataFrame:
-    """``(start, end, pages)``: the streams of a dump, ends included; the last only if the size is known."""
-    per = index.groupBy(F.col("offset").alias("start")).agg(F.count("*").alias("pages"))
-    end = F.lead("start").over(Window.orderBy("start")) - 1
-    return per.withColumn("end", F.coalesce(end, F.lit(size - 1 if size else None).cast("long"))).where("end is not null").select("start", "end", "pages")
+def byte_ranges(index: DataFrame, size: int | None = None, block: int = 1 << 30) -> DataFrame:
+    """``(start, end, pages)``: the streams of a dump, ends included; the last only if the size is known.
+
+    The next start is looked for within a block of the file, and for a
+    block's last stream among the blocks' first ones.
+    """
+    per = index.groupBy(F.col("offset").alias("start")).agg(F.count("*").alias("pages")).withColumn("b", F.floor(F.col("start") / block))
+    firsts = per.groupBy("b").agg(F.min("start").alias("f"))
+    after = firsts.select("b", F.lead("f").over(Window.orderBy("b")).alias("f"))  # a row a block of the file
+    end = F.coalesce(F.lead("start").over(Window.partitionBy("b").orderBy("start")), F.col("f")) - 1
+    out = per.join(after, "b", "left").withColumn("end", F.coalesce(end, F.lit(size - 1 if size else None).cast("long")))
+    return out.where("end is not null").select("start", "end", "pages")
+
+
+def decompressed(data: bytes) -> bytes:
+    """A bzip2 stream, or several one after another, to their ends; an error if the last one breaks off."""
+    out = []
+    while data:
+        d = bz2.BZ2Decompressor()
+        out.append(d.decompress(data))
+        if not d.eof:
+            raise ValueError("the stream breaks off")
+        data = d.unused_data
+    return b"".join(out)
 
 
-def read_streams(spark: SparkSession, path: str, ranges: DataFrame, most: int = 64 << 20) -> DataFrame:
-    """``(start, text)``: each stream of a bzip2 dump decompressed by a task of its own, up to ``most`` bytes."""
+def read_streams(spark: SparkSession, path: str, ranges: DataFrame) -> DataFrame:
+    """``(start, text)``: each stream of a bzip2 dump decompressed to its end by a task of its own; the path must be one all executors share."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
             with open(path, "rb") as f:
                 for a, z in zip(b["start"], b["end"]):
                     f.seek(a)
-                    rows.append((a, bz2.BZ2Decompressor().decompress(f.read(z - a + 1), most).decode("utf-8", "replace")))
-            yield pd.DataFrame(rows, columns=["start", "text"])
+                    yield pd.DataFrame({"start": [a], "text": [decompressed(f.read(z - a + 1)).decode("utf-8", "replace")]})
 
     return ranges.select("start", "end").repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "start long, text string")
 
