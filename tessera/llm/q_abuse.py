@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from .abuse import THRESHOLD, score_texts
+from .abuse import KINDS, THRESHOLD, score_texts
 
 
 def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,5 +26,13 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("source").agg(F.count("*").alias("documents"), F.sum("hit").alias("abusive")).withColumn("rate", F.col("abusive") / F.col("documents"))
 
 
-QUERIES = {"p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
-SQL: dict = {}
+def p10_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each source with a score, and whether each score is the sum of its kinds."""
+    scores = p10_scores(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source").join(scores, "doc_id")
+    total = sum((F.col(k) for k in KINDS[1:]), F.col(KINDS[0]))
+    return docs.groupBy("source").agg(F.count("*").alias("documents"), F.min(F.abs(total - F.col("score")) < 1e-9).alias("summed"))
+
+
+QUERIES = {"p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates, "p10_documents": p10_documents}
+SQL = {"p10_documents": "SELECT source, count(*) AS documents, true AS summed FROM documents GROUP BY 1"}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 from .inputs import providers
 from .labels import label_language
+from .q_langid import p1_languages
 from .tokens import token_counts
 
 VOCAB = "byte_bpe_50k"
@@ -55,5 +56,26 @@ def p5_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_tokens(spark, sf_dir).select("kind", "id", "n_tokens")
 
 
-QUERIES = {"p5_budget": p5_budget, "p5_texts": p5_texts}
-SQL: dict = {}
+def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts and tokens by the language that problem 1 finds, whatever the label says; ``none`` where it finds none.
+
+    A chunk counts under its source's language.
+    """
+    texts = text_tokens(spark, sf_dir).groupBy("kind", "grp", F.when(F.col("kind") == "document", F.col("id")).alias("doc")).agg(F.count("*").alias("texts"), F.sum("n_tokens").alias("tokens"))
+    named = texts.select(F.when(F.col("kind") == "chunk", "source").otherwise("document").alias("kind"), F.coalesce(F.col("doc").cast("string"), F.col("grp")).alias("record_id"), "texts", "tokens")
+    found = p1_languages(spark, sf_dir).where("kind in ('source', 'document')").groupBy("kind", "record_id").agg(F.max("language").alias("language"))
+    return named.join(found, ["kind", "record_id"], "left").groupBy("kind", F.coalesce("language", F.lit("none")).alias("language")).agg(F.sum("texts").alias("texts"), F.sum("tokens").alias("tokens"))
+
+
+def p5_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many texts each level of the budget holds, and whether all levels hold the same tokens."""
+    b = p5_budget(spark, sf_dir).groupBy("kind", "level").agg(F.sum("texts").alias("texts"), F.sum("tokens").alias("tokens"))
+    whole = b.where("level = 'all'").select("kind", F.col("tokens").alias("t"))
+    return b.join(whole, "kind").select("kind", "level", "texts", (F.col("tokens") == F.col("t")).alias("same_tokens"))
+
+
+QUERIES = {"p5_budget": p5_budget, "p5_texts": p5_texts, "p5_languages": p5_languages, "p5_sums": p5_sums}
+SQL = {
+    "p5_sums": """WITH n AS (SELECT 'chunk' kind, count(DISTINCT id) + max(CASE WHEN id IS NULL THEN 1 ELSE 0 END) n FROM chunks UNION ALL SELECT 'document', count(*) FROM documents)
+SELECT kind, unnest(['cell', 'slice', 'provider', 'language', 'all']) AS level, n AS texts, true AS same_tokens FROM n WHERE n > 0"""
+}

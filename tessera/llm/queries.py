@@ -6,6 +6,6 @@ from . import q_abuse, q_budget, q_encode, q_groups, q_langid, q_lines, q_pack,
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _module in (q_langid, q_split, q_groups, q_langid, q_lines, q_budget, q_scans, q_encode, q_pack, q_abuse):
+for _module in (q_langid, q_split, q_groups, q_lines, q_budget, q_scans, q_encode, q_pack, q_abuse):
     QUERIES.update(_module.QUERIES)
     SQL.update(_module.SQL)
