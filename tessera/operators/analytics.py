@@ -111,6 +111,13 @@ def kmeans(vectors: DataFrame, key: str, vector: str, k: int, seed: int = 7, rou
     return assigned(centres).drop("v")
 
 
+def centroid_distances(vectors: DataFrame, group: str, vector: str) -> DataFrame:
+    """``(left, right, distance)``: the cosine distance of the mean vectors of each two groups; groups are few."""
+    means = mean_vector(vectors, [group], vector)
+    left, right = means.select(F.col(group).alias("left"), F.col("mean").alias("_a")), means.select(F.col(group).alias("right"), F.col("mean").alias("_b"))
+    return left.join(right, F.col("left") < F.col("right")).select("left", "right", (1 - cosine(F.col("_a"), F.col("_b"))).alias("distance"))
+
+
 #: Vectors among which the number of clusters is chosen, the first by the key's hash; a parameter with this default.
 SILHOUETTE_SAMPLE = 2000
 

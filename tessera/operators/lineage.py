@@ -68,3 +68,16 @@ def same_partition(a: DataFrame, b: DataFrame) -> DataFrame:
     fa, fb = fold(a), fold(b)
     one = fa.exceptAll(fb).agg(F.count("*").alias("only_a")).crossJoin(fb.exceptAll(fa).agg(F.count("*").alias("only_b")))
     return one.select(((F.col("only_a") == 0) & (F.col("only_b") == 0)).alias("same"), "only_a", "only_b")
+
+
+def gaps(edges_: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(relation, edges, gaps)``: how many edges each relation has and how many of them end at nothing known; ``nodes`` has ``tgt_type`` and ``tgt_id``."""
+    known = nodes.distinct().withColumn("_there", F.lit(1))
+    return edges_.join(known, ["tgt_type", "tgt_id"], "left").groupBy("relation").agg(F.count("*").alias("edges"), F.count_if(F.col("_there").isNull()).alias("gaps"))
+
+
+def adjacent(edges_: DataFrame, asked: DataFrame) -> DataFrame:
+    """``(direction, node, other)``: the edges out of and into each asked node."""
+    out = edges_.select(F.lit("out").alias("direction"), F.col("src_id").alias("node"), F.col("tgt_id").alias("other"))
+    into = edges_.select(F.lit("in").alias("direction"), F.col("tgt_id").alias("node"), F.col("src_id").alias("other"))
+    return out.unionByName(into).join(asked.select("node").distinct(), "node", "left_semi").select("direction", "node", "other").distinct()

@@ -216,3 +216,34 @@ def ana_top_tags(spark: SparkSession, d: str) -> DataFrame:
 def ana_neighbors(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "corpus_items").select(F.col("document_id").alias("item"), F.explode("subjects").alias("tag"))
     return analytics.cooccurrence(t, "tag", "item")
+
+
+@query("""WITH v AS (SELECT label, generate_subscripts(embedding, 1) i, unnest(embedding)::DOUBLE x FROM embeddings), m AS (SELECT label, i, avg(x) x FROM v GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(x * x)) n FROM m GROUP BY 1)
+SELECT a.label AS "left", b.label AS "right", CAST(floor((1 - sum(a.x * b.x) / any_value(na.n * nb.n)) * 1e6 + 0.5) AS BIGINT) AS distance FROM m a JOIN m b ON a.i = b.i AND a.label < b.label JOIN n na ON na.label = a.label JOIN n nb ON nb.label = b.label GROUP BY 1, 2""")
+def ana_distances(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.centroid_distances(table(spark, d, "embeddings"), "label", "embedding").select("left", "right", micro("distance").alias("distance"))
+
+
+@query("""WITH e AS (SELECT DISTINCT 'DERIVED_FROM' relation, id, unnest(parent_cycle_ids) p FROM cycles), x AS (SELECT relation, p IN (SELECT id FROM cycles) ok FROM e WHERE p IS NOT NULL
+ UNION ALL SELECT 'EXTRACTED_FROM', source_id IN (SELECT id FROM sources) FROM (SELECT DISTINCT id, source_id FROM chunks WHERE source_id IS NOT NULL AND id IS NOT NULL))
+SELECT relation, count(*) AS edges, count(*) FILTER (WHERE NOT ok) AS gaps FROM x GROUP BY 1""")
+def gra_gaps(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "cycles").select("id", F.explode("parent_cycle_ids").alias("parent"))
+    e = lineage.edges((c, "cycle", "id", "cycle", "parent", "DERIVED_FROM"), (table(spark, d, "chunks").select("id", "source_id"), "chunk", "id", "source", "source_id", "EXTRACTED_FROM"))
+    nodes = [table(spark, d, t).select(F.lit(k).alias("tgt_type"), F.col("id").cast("string").alias("tgt_id")) for t, k in (("cycles", "cycle"), ("sources", "source"))]
+    return lineage.gaps(e, nodes[0].unionByName(nodes[1]))
+
+
+@query("""WITH e AS (SELECT DISTINCT id, unnest(parent_cycle_ids) p FROM cycles) SELECT 'out' AS direction, CAST(id AS VARCHAR) AS node, CAST(p AS VARCHAR) AS other FROM e WHERE p IS NOT NULL AND id % 20 = 0 UNION SELECT 'in', CAST(p AS VARCHAR), CAST(id AS VARCHAR) FROM e WHERE p % 20 = 0""")
+def gra_adjacent(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "cycles").select("id", F.explode("parent_cycle_ids").alias("parent"))
+    e = lineage.edges((c, "cycle", "id", "cycle", "parent", "DERIVED_FROM"))
+    asked = table(spark, d, "cycles").select("id").unionByName(c.select(F.col("parent").alias("id"))).where("id % 20 = 0").select(F.col("id").cast("string").alias("node")).distinct()
+    return lineage.adjacent(e, asked)
+
+
+@query("""SELECT DISTINCT document_id AS id, state, updated_at AS valid_from, lead(updated_at) OVER (PARTITION BY document_id ORDER BY updated_at, state) AS valid_to FROM (SELECT DISTINCT document_id, state, updated_at FROM corpus_items) QUALIFY count(*) OVER (PARTITION BY document_id) > 1""")
+def tmp_history(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "corpus_items").select(F.col("document_id").alias("id"), "state", F.col("updated_at").alias("valid_from")).distinct()
+    w = Window.partitionBy("id").orderBy("valid_from", "state")
+    return v.withColumn("valid_to", F.lead("valid_from").over(w)).withColumn("n", F.count("*").over(Window.partitionBy("id"))).where("n > 1").drop("n")

@@ -22,7 +22,7 @@ ZIP_BYTES, ZIP_RATIO = 512 << 20, 200
 APPARATUS = ("colophon", "uncopyright", "imprint", "copyright-page", "copyright_page")
 TEI_APPARATUS = frozenset({"teiheader", "note", "fw", "figdesc", "app", "back"})
 #: Formats from the best to the worst; fixed order.
-FORMATS = ("txt", "epub", "html", "xml", "tei", "pdf")
+FORMATS = ("txt", "epub", "html", "xhtml", "xml", "tei", "pdf")
 
 
 class UnsafeFile(ValueError):

@@ -228,3 +228,16 @@ def write_sharded(df: DataFrame, path: str, digest: str) -> None:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
             raise
     df.dropDuplicates([digest]).withColumn("shard1", F.substring(digest, 1, 2)).withColumn("shard2", F.substring(digest, 3, 2)).write.mode("append").partitionBy("shard1", "shard2").parquet(path)
+
+
+def write_jsonl(df: DataFrame, path: str, order: str, since: object = None) -> None:
+    """Rows as lines of JSON, those whose ``order`` is greater than ``since`` if that is given; a part a task, each in order."""
+    rows = df if since is None else df.where(F.col(order) > F.lit(since))
+    rows.repartitionByRange(order).sortWithinPartitions(order).select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
+
+
+def with_sidecar(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(name, content)`` of two files for each row: its text, and beside it what else is known of it, as JSON with the text's hash."""
+    told = F.to_json(F.struct(*[c for c in df.columns if c != text], F.sha2(F.coalesce(text, F.lit("")), 256).alias("sha256"), F.length(F.coalesce(text, F.lit(""))).alias("chars")))
+    files = F.array(F.struct(F.concat(F.col(key).cast("string"), F.lit(".txt")).alias("name"), F.coalesce(text, F.lit("")).alias("content")), F.struct(F.concat(F.col(key).cast("string"), F.lit(".json")).alias("name"), told.alias("content")))
+    return df.select(F.explode(files).alias("f")).select("f.name", "f.content")

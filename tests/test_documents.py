@@ -80,3 +80,11 @@ def test_streams_to_their_ends():
     assert files.decompressed(data) == b"a" * 100 + b"b"
     with pytest.raises((ValueError, OSError)):
         files.decompressed(data[:-5])
+
+
+def test_lines_of_json_and_sidecars(spark, tmp_path):
+    df = spark.createDataFrame([(3, "c"), (1, "a"), (2, None)], "id long, text string")
+    files.write_jsonl(df, str(tmp_path / "out"), "id", since=1)
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "out")).collect()) == ['{"id":2}', '{"id":3,"text":"c"}']
+    got = {r["name"]: r["content"] for r in files.with_sidecar(df, "id", "text").collect()}
+    assert len(got) == 6 and got["3.txt"] == "c" and got["2.txt"] == "" and '"chars":1' in got["3.json"] and '"id":3' in got["3.json"]
