@@ -381,7 +381,7 @@ n AS (SELECT vec_id, embedding::DOUBLE[] e FROM embeddings), sm AS (SELECT a.vec
 nr AS (SELECT query_id, doc_id, s FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) k FROM sm) WHERE k <= 50),
 b AS (SELECT coalesce(lx.query_id, nr.query_id) query_id, coalesce(lx.doc_id, nr.doc_id) doc_id, score, s FROM lx FULL JOIN nr ON nr.query_id = lx.query_id AND nr.doc_id = lx.doc_id),
 m AS (SELECT *, min(score) OVER (PARTITION BY query_id) lo, max(score) OVER (PARTITION BY query_id) hi FROM b),
-f AS (SELECT query_id, m.doc_id, CAST(floor((0.35::DOUBLE * coalesce(s, 0) + 0.25::DOUBLE * CASE WHEN score IS NULL THEN 0 WHEN hi = lo THEN 1 ELSE (score - lo) / (hi - lo)::DOUBLE END + 0.2::DOUBLE * CASE WHEN domain = 'law' THEN 1 ELSE 0 END + 0.15::DOUBLE * CASE WHEN m.doc_id % 4 = 0 THEN 1.0::DOUBLE ELSE (m.doc_id % 4) / 4.0::DOUBLE END + 0.05::DOUBLE * (m.doc_id % 3) / 2.0::DOUBLE) * 1e6 + 0.5) AS BIGINT) score FROM m LEFT JOIN documents d ON d.doc_id = m.doc_id)
+f AS (SELECT query_id, m.doc_id, CAST(floor((0.35::DOUBLE * coalesce(s, 0) + 0.25::DOUBLE * CASE WHEN score IS NULL THEN 0 WHEN hi = lo THEN 1 ELSE (score - lo) / (hi - lo)::DOUBLE END + 0.2::DOUBLE * CASE WHEN domain = 'law' THEN 1 ELSE 0 END + 0.15::DOUBLE * CASE WHEN coalesce(d.doc_id % 4, 0) = 0 THEN 1.0::DOUBLE ELSE (d.doc_id % 4) / 4.0::DOUBLE END + 0.05::DOUBLE * coalesce(d.doc_id % 3, 0) / 2.0::DOUBLE) * 1e6 + 0.5) AS BIGINT) score FROM m LEFT JOIN documents d ON d.doc_id = m.doc_id)
 SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) k FROM f) WHERE k <= 10""")
 def ret_hybrid(spark: SparkSession, d: str) -> DataFrame:
     return hybrid_results(spark, d)

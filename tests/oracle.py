@@ -58,3 +58,20 @@ def compare(df, con, sql):
     assert len(a[1]) == len(b[1]), (len(a[1]), len(b[1]))
     diff = [(x, y) for x, y in zip(a[1], b[1]) if x != y]
     assert not diff, diff[:3]
+
+
+def same_twice(spark, build):
+    """The rows of two runs, the second with other partitions, must be the same, and there must be some."""
+    first = spark_rows(build())
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+        second = spark_rows(build())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert first[1] and len(set(first[0])) == len(first[0])
+    assert first[0] == second[0] and len(first[1]) == len(second[1])
+    diff = [(x, y) for x, y in zip(first[1], second[1]) if x != y]
+    assert not diff, diff[:3]
