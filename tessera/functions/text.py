@@ -103,16 +103,18 @@ def paragraphs(c: Column) -> Column:
 
 
 def unique_paragraphs(c: Column) -> Column:
-    """The text with later repeats of a paragraph left out; case, signs and spaces don't tell two apart."""
-    parts = F.transform(paragraphs(c), lambda p: F.struct(strip(p).alias("t"), F.trim(F.regexp_replace(F.lower(p), r"[^\p{L}\p{N}]+", " ")).alias("k")))
+    """The text with later repeats of a paragraph left out; only plain letters and digits tell two apart, and one without any goes."""
+    parts = F.transform(paragraphs(c), lambda p: F.struct(strip(p).alias("t"), F.trim(F.regexp_replace(F.lower(p), r"[^a-z0-9]+", " ")).alias("k")))
+    parts = F.filter(parts, lambda p: F.length(p["k"]) > 0)
     # the first place of each key, by one search in the list of keys
     first = let(parts, lambda ps: let(F.transform(ps, lambda p: p["k"]), lambda ks: F.filter(ps, lambda p, i: F.array_position(ks, p["k"]) == i + 1)))
     return F.array_join(F.transform(first, lambda p: p["t"]), "\n\n")
 
 
 def fragment(c: Column) -> Column:
-    """What stands after the last ``FIELD_FRAGMENT`` and before ``METADATA_JSON``; the whole text without such marks."""
+    """What stands after the last ``FIELD_FRAGMENT`` and before ``METADATA_JSON``, without two marks of the prompt; the whole text without such marks."""
     body = F.substring_index(F.substring_index(c, "FIELD_FRAGMENT", -1), "METADATA_JSON", 1)
+    body = F.replace(F.replace(body, F.lit("FIELD_FRAGMENT ENDS.")), F.lit("BEGIN PROSE ONLY."))
     return unique_paragraphs(strip(body))
 
 
@@ -122,10 +124,10 @@ def sentences(c: Column) -> Column:
 
 
 def _unclosed(c: Column) -> Column:
-    """Whether brackets are left open, or closed that were never opened."""
+    """Whether brackets are left open; one that closes what wasn't opened last counts for nothing."""
     marks = F.regexp_extract_all(c, F.lit(r"[\(\)\[\]\{\}]"), 0)
     pairs = F.create_map(*[F.lit(x) for x in (")", "(", "]", "[", "}", "{")])
-    step = lambda s, m: F.when(m.isin("(", "[", "{"), F.concat(s, m)).when(F.right(s, F.lit(1)) == F.try_element_at(pairs, m), F.left(s, F.length(s) - 1)).otherwise(F.concat(s, F.lit("!")))
+    step = lambda s, m: F.when(m.isin("(", "[", "{"), F.concat(s, m)).when(F.right(s, F.lit(1)) == F.try_element_at(pairs, m), F.left(s, F.length(s) - 1)).otherwise(s)
     return F.length(F.aggregate(marks, F.lit(""), step)) > 0
 
 
@@ -135,12 +137,12 @@ def truncated(c: Column) -> Column:
     odd_quotes = F.pmod(F.length(t) - F.length(F.replace(t, F.lit('"'))), F.lit(2)) == 1
     return (
         (F.length(t) == 0)
-        | t.endswith("...") | t.endswith("…") | t.endswith("[...]")
+        | t.endswith("...") | t.endswith("…") | F.contains(t, F.lit("[...]"))
         | odd_quotes
         | _unclosed(t)
         | t.rlike(r"[,;:]$")
-        | F.lower(t).rlike(r"(?:^|\s)(?:and|or|but|because|that|which|the|of|to)[.!?]?$")
-        | ~t.rlike(r"[.!?»”\"')\]]$")
+        | t.rlike(r"(?i)\b(?:and|or|but|yet|then|while|because|for|the|of|to|with|from|into|in)$")
+        | ~t.rlike(r"[.!?\"”)\]}]$")
     )
 
 

@@ -75,7 +75,10 @@ def txt_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).where("text is not null").select("doc_id", F.size(X.paragraphs(F.col("text"))).cast("long").alias("paragraphs"))
 
 
-@query()
+@query(r"""WITH r AS (SELECT DISTINCT id, response FROM cycles), b AS (SELECT id, replace(replace(string_split(string_split(response, 'FIELD_FRAGMENT')[-1], 'METADATA_JSON')[1], 'FIELD_FRAGMENT ENDS.', ''), 'BEGIN PROSE ONLY.', '') b FROM r),
+p AS (SELECT id, b IS NULL nil, list_transform(string_split_regex(replace(regexp_replace(coalesce(b, ''), '^[\s\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{3000}]+|[\s\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{3000}]+$', '', 'g'), chr(13) || chr(10), chr(10)), '\n\s*\n'), lambda x: regexp_replace(x, '^[\s\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{3000}]+|[\s\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{3000}]+$', '', 'g')) p FROM b),
+k AS (SELECT id, nil, unnest(p) t, generate_subscripts(p, 1) i FROM p), f AS (SELECT id, t, i, trim(regexp_replace(lower(t), '[^a-z0-9]+', ' ', 'g')) k FROM k), m AS (SELECT id, k, min(i) i, arg_min(t, i) t FROM f WHERE length(k) > 0 GROUP BY 1, 2)
+SELECT p.id, CASE WHEN nil THEN NULL ELSE coalesce(string_agg(m.t, chr(10) || chr(10) ORDER BY m.i), '') END AS fragment FROM p LEFT JOIN m ON m.id = p.id GROUP BY p.id, nil, p.p""")
 def txt_fragment(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "cycles").select("id", "response").distinct().select("id", X.fragment(F.col("response")).alias("fragment"))
 
@@ -85,7 +88,13 @@ def txt_sentences(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).where("text is not null").select("doc_id", F.size(X.sentences(F.col("text"))).cast("long").alias("sentences"))
 
 
-@query()
+_PAIRED = "x"
+for _ in range(12):
+    _PAIRED = rf"regexp_replace(regexp_replace(regexp_replace({_PAIRED}, '^[\)\]\}}]+', ''), '\(\)|\[\]|\{{\}}', '', 'g'), '(\()[\]\}}]|(\[)[\)\}}]|(\{{)[\)\]]', '\1\2\3', 'g')"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^[\s\x{{85}}\x{{a0}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{3000}}]+|[\s\x{{85}}\x{{a0}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{3000}}]+$', '', 'g') t FROM documents), b AS (SELECT doc_id, t, regexp_replace(t, '[^\(\)\[\]\{{\}}]+', '', 'g') x FROM t)
+SELECT doc_id, t = '' OR ends_with(t, '...') OR ends_with(t, '…') OR contains(t, '[...]') OR (length(t) - length(replace(t, '"', ''))) % 2 = 1 OR length({_PAIRED}) > 0 OR regexp_matches(t, '[,;:]$') OR regexp_matches(t, '(?i)\b(?:and|or|but|yet|then|while|because|for|the|of|to|with|from|into|in)$') OR NOT regexp_matches(t, '[.!?"”)\]}}]$') AS cut_off FROM b""")
 def txt_truncated(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", X.truncated(F.col("text")).alias("cut_off"))
 
