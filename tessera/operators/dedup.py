@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+import zlib
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import sets as S
 from ..functions.hashing import SIGNATURE, minhash, simhash
 from ..functions.text import shingles
 from ..functions.vectors import hamming
@@ -25,10 +34,32 @@ def exact_classes(df: DataFrame, key: str, text: str) -> DataFrame:
     return own.join(sums, "h").select(key, "class_id", "copies")
 
 
-def _sets(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """``(key, h, s)``: the set of shingles of each text that has words, as sorted 64-bit hashes, and the set's own hash."""
-    s = F.transform(shingles(F.col(text), words), lambda x: F.xxhash64(x))
-    return df.select(key, F.array_sort(s).alias("s")).where(F.size("s") > 0).withColumn("h", F.sha2(F.array_join("s", ","), 256))
+#: Sets that are compared in one task; larger classes of sizes are divided.
+CELL = 200_000
+#: Bits of the filter that holds back texts without a partner.
+_FILTER = 1 << 25
+
+
+def _plain(text: str) -> Column:
+    """A text for :func:`word_runs`: as it is if Python and the JVM agree on all its letters, else its :func:`words` parted by blanks after a mark."""
+    parted = F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}]+", " ")
+    return F.when(F.col(text).rlike(S.DOUBTFUL), F.concat(F.lit(S.PARTED), parted)).otherwise(F.col(text))
+
+
+def _summed(df: DataFrame, of: Callable[[Iterator[pa.RecordBatch]], np.ndarray], merge: Callable[[np.ndarray, np.ndarray], np.ndarray], blocks: int = 64) -> list[tuple[int, bytes]]:
+    """One array of a task each, merged block by block on the cluster: ``(block, bytes)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = of(batches)
+        kind = whole.dtype.str
+        parts = [zlib.compress(x.tobytes(), 1) for x in np.split(whole, blocks)]
+        yield pa.RecordBatch.from_pydict({"i": pa.array(range(blocks), pa.int32()), "kind": [kind] * blocks, "x": parts})
+
+    def gather(rows: pd.DataFrame) -> pd.DataFrame:
+        parts = (np.frombuffer(zlib.decompress(x), dtype=kind) for kind, x in zip(rows["kind"], rows["x"]))
+        return pd.DataFrame({"i": rows["i"].to_numpy()[:1], "x": [reduce(merge, parts).tobytes()]})
+
+    return [(r["i"], r["x"]) for r in df.mapInArrow(run, "i int, kind string, x binary").groupBy("i").applyInPandas(gather, "i int, x binary").collect()]
 
 
 def near_pairs(df: DataFrame, key: str, text: str, words: int = WORDS, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
@@ -36,28 +67,102 @@ def near_pairs(df: DataFrame, key: str, text: str, words: int = WORDS, similar:
 
     Copies are one class and never paired. Candidates come from a prefix of
     each set in an order by rarity: two sets that share ``similar`` of their
-    shingles must share one in their prefixes, so none is lost. A shingle's
-    list of sets is split by size, since a similar set is about as large.
+    shingles must share one in their prefixes, so none is lost. The order is
+    that of a table of counters over all texts, of a fixed size. What goes
+    over the network is not the sets but their prefixes and a map of parities
+    that bounds in how many shingles two sets differ; sets of about one size
+    meet in one task. Whole sets are made only of texts in pairs that remain.
     """
-    sets = materialize(_sets(df, key, text, words), "near-sets")
-    reps = materialize(sets.groupBy("h").agg(F.min(key).alias("rep"), F.first("s").alias("s")), "near-reps")
-    members = sets.select(key, "h").join(reps.select("h", F.col("rep").alias("class_id")), "h").select(key, "class_id")
-    each = reps.select("rep", F.size("s").alias("n"), F.explode("s").alias("t"))
-    often = each.groupBy("t").agg(F.count("*").alias("f"))
-    # a shingle of one set only can't be shared, but takes its place in the prefix
-    ordered = each.join(often.where("f > 1"), "t")
-    # of n shingles, all but ceil(similar * n) - 1 make the prefix
-    rank = F.row_number().over(Window.partitionBy("rep").orderBy("f", "t"))
-    shared_by = F.count("*").over(Window.partitionBy("rep"))
-    prefix = ordered.withColumn("k", rank).withColumn("shared", shared_by).where(F.col("k") + (F.col("n") - F.col("shared")) <= F.col("n") - F.ceil(F.col("n") * similar) + 1)
-    prefix = materialize(prefix.select("rep", "n", "t"), "near-prefix")
-    # sizes within a factor of `similar`: the same or the next step of a geometric scale
-    step = F.floor(F.log(1 / similar, F.col("n"))).cast("int")
-    left = prefix.select(F.col("rep").alias("a"), F.col("n").alias("na"), "t", step.alias("z"))
-    right = prefix.select(F.col("rep").alias("b"), F.col("n").alias("nb"), "t", F.explode(F.array(step - 1, step, step + 1)).alias("z"))
-    cand = left.join(right, ["t", "z"]).where((F.col("a") < F.col("b")) & (F.col("nb") >= similar * F.col("na")) & (F.col("na") >= similar * F.col("nb"))).select("a", "b").distinct()
-    s = reps.select("rep", "s")
-    both = cand.join(s.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
+    spark = df.sparkSession
+    plain = df.select(key, _plain(text).alias("t"))
+    kind = df.schema[key].dataType
+
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        counts = np.zeros(S.COUNTERS, dtype=np.uint32)
+        for b in batches:
+            for h in S.word_runs(b.column(0).to_pylist(), words):
+                counts[S.counter(h)] += 1  # two runs of one text under one counter count once, which only changes the order
+        return counts
+
+    rare = np.zeros(S.COUNTERS, dtype=np.uint8)
+    step = S.COUNTERS // 64
+    for i, x in _summed(plain.select("t"), count, lambda x, y: x + y):
+        rare[i * step : (i + 1) * step] = S.rarity(np.frombuffer(x, dtype=np.uint32))
+    shared_rare = spark.sparkContext.broadcast(rare)
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = S.size_bounds(1 << 20, similar)
+        for b in batches:
+            rows = {"h": [], "n": [], "z": [], "p": [], "m": []}
+            keep = []
+            for i, h in enumerate(S.word_runs(b.column(1).to_pylist(), words)):
+                if not len(h):
+                    continue
+                if len(h) >= bounds[-3]:
+                    bounds = S.size_bounds(2 * len(h), similar)
+                z = bisect_right(bounds, len(h)) - 1
+                keep.append(i)
+                for c, v in zip(rows, (hashlib.blake2b(h.tobytes(), digest_size=16).digest(), len(h), z, S.prefix(h, shared_rare.value, similar), S.parities(h, S.width(bounds, z + 1)))):
+                    rows[c].append(v)
+            kinds = {"h": pa.binary(), "n": pa.int32(), "z": pa.int32(), "p": pa.binary(), "m": pa.binary()}
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), *[pa.array(v, kinds[c]) for c, v in rows.items()]], [key, *rows])
+
+    sets = materialize(plain.mapInArrow(sets_of, f"{key} {kind.simpleString()}, h binary, n int, z int, p binary, m binary"), "near-sets")
+    least = sets.groupBy("h").agg(F.min(key).alias("class_id"), F.first("z").alias("z"))
+    members = sets.select(key, "h").join(least.select("h", "class_id"), "h").select(key, "class_id")
+    # each class of sizes is a cell, with the class below it; one row for each class
+    sizes = {r["z"]: r["count"] for r in least.groupBy("z").count().collect()}
+    blocks = {z: max(1, math.ceil((sizes.get(z, 0) + sizes.get(z - 1, 0)) / CELL)) for z in sizes}
+    split = F.create_map(*[F.lit(x) for z, g in blocks.items() for x in (z, g)]) if blocks else F.create_map(F.lit(0), F.lit(1))
+    reps = sets.groupBy("h").agg(F.min(key).alias("rep"), *[F.first(c).alias(c) for c in "nzpm"])
+    cells = reps.withColumn("cell", F.explode(F.array("z", F.col("z") + 1))).withColumn("g", F.try_element_at(split, "cell")).where("g is not null")
+    cells = cells.withColumn("block", F.pmod(F.xxhash64("rep"), "g").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    cells = cells.select("rep", "h", *"nzpm", "block", "cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+    def meet(at: tuple, rows: pa.Table) -> pa.Table:
+        cell, i, j = (x.as_py() for x in at)
+        n, block = rows["n"].to_numpy(), rows["block"].to_numpy()
+        # maps of the class below are as wide as those of this one; those of this one may be twice as wide and are folded
+        maps = rows["m"].to_pylist()
+        least = min(map(len, maps))
+        folded = [np.frombuffer(x, dtype=np.uint8).reshape(-1, least) for x in maps]
+        maps = np.stack([np.bitwise_xor.reduce(x, axis=0) for x in folded])
+        own = n[rows["z"].to_numpy() == cell]
+        if not len(own):
+            return pa.table({c: rows["h" if c[0] == "h" else "rep"][:0] for c in ("a", "ha", "b", "hb")})
+        a, b = S.like_pairs(n, rows["p"].to_pylist(), maps, int(own.min()), lambda x, y: (i == j) | (block[x] != block[y]), similar)
+        a, b = pa.array(a), pa.array(b)
+        return pa.table({"a": rows["rep"].take(a), "ha": rows["h"].take(a), "b": rows["rep"].take(b), "hb": rows["h"].take(b)})
+
+    met = cells.groupBy("cell", "i", "j").applyInArrow(meet, f"a {kind.simpleString()}, ha binary, b {kind.simpleString()}, hb binary").where("a != b")
+    swap = F.struct(F.col("b").alias("a"), F.col("hb").alias("ha"), F.col("a").alias("b"), F.col("ha").alias("hb"))
+    cand = materialize(met.select(F.when(F.col("a") < F.col("b"), F.struct("a", "ha", "b", "hb")).otherwise(swap).alias("p")).select("p.*"), "near-cand")
+
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(_FILTER)).alias("f")
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        bits = np.zeros(_FILTER, dtype=bool)
+        for b in batches:
+            bits[b.column(0).to_numpy()] = True
+        return np.packbits(bits)
+
+    held = np.zeros(_FILTER // 8, dtype=np.uint8)
+    for i, x in _summed(cand.select(F.explode(F.array("a", "b")).alias("k")).select(place("k")), marked, lambda x, y: x | y):
+        held[i * len(held) // 64 : (i + 1) * len(held) // 64] = np.frombuffer(x, dtype=np.uint8)
+    shared_held = spark.sparkContext.broadcast(held)
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            f = b.column(2).to_numpy()
+            b = b.filter(pa.array((shared_held.value[f >> 3] >> (7 - (f & 7)).astype(np.uint8) & 1).astype(bool)))
+            runs = list(S.word_runs(b.column(1).to_pylist(), words))
+            sums = [hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in runs]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sums, pa.binary()), pa.array([h.view(np.int64) for h in runs], pa.list_(pa.int64()))], ["k", "h", "s"])
+
+    # rows may be repeated, and texts of one key may differ: a set is told by both
+    s = plain.where(F.col(key).isNotNull()).select(key, "t", place(key)).mapInArrow(full, f"k {kind.simpleString()}, h binary, s array<bigint>")
+    s = materialize(s.dropDuplicates(["k", "h"]), "near-full")
+    both = cand.join(s.select(F.col("k").alias("a"), F.col("h").alias("ha"), F.col("s").alias("sa")), ["a", "ha"]).join(s.select(F.col("k").alias("b"), F.col("h").alias("hb"), F.col("s").alias("sb")), ["b", "hb"])
     shared = F.size(F.array_intersect("sa", "sb"))
     pairs = both.withColumn("jaccard", shared / (F.size("sa") + F.size("sb") - shared)).where(F.col("jaccard") >= similar).select("a", "b", "jaccard")
     return pairs, members

@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -125,3 +126,51 @@ def test_components_of_chains_and_stars(spark):
     got = {r["node"]: r["least"] for r in dedup.connected(spark.createDataFrame(links, "a string, b string")).collect()}
     assert len(got) == 81 + 61 and {v for k, v in got.items() if k[0] == "c"} == {"c000"} and {v for k, v in got.items() if k[0] == "h"} == {"h0"}
     assert dedup.connected(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_near_pairs_equal_all_pairs_and_only_compact_rows_are_kept(spark, monkeypatch):
+    rng = random.Random(4)
+    common = [f"c{i}" for i in range(30)]  # runs that most texts have
+    base = [[f"w{rng.randrange(300)}" for _ in range(n)] for n in (3, 4, 5, 9, 40, 41, 90, 200, 210, 700)]
+    rows = []
+    for i in range(300):
+        t = list(base[i % len(base)])
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 5])):
+            t[rng.randrange(len(t))] = rng.choice("xyz")
+        rows.append((i, " ".join([*t[: rng.choice([len(t), len(t), max(len(t) - 9, 1)])], *(common if i % 3 == 0 else [])])))
+    rows += [(900, None), (901, " .,"), (902, "One, TWO"), (903, "one two!"), (904, "two one"), (0, rows[0][1]), (905, "Ünï - çode"), (906, "ünï çode"), (907, "Ως ΣΑΣ 中文"), (908, "ωσ σας, 中文!"), (909, "\u0001 ωσ")]
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\W_]+", (t or "").lower())
+        if w:
+            sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1)))
+    rep = {}
+    for i in sorted(sets):
+        rep.setdefault(sets[i], i)
+    like = lambda f, g: len(f & g) / len(f | g)
+    want = {(a, b): like(f, g) for f, a in rep.items() for g, b in rep.items() if a < b and like(f, g) >= 0.8}
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    kept = []
+    inner = dedup.materialize
+    monkeypatch.setattr(dedup, "materialize", lambda d, name: kept.append((name, d.dtypes)) or inner(d, name))
+    # as one cell for each size, and divided
+    for cell in (dedup.CELL, 20):
+        monkeypatch.setattr(dedup, "CELL", cell)
+        pairs, members = dedup.near_pairs(df, "id", "text")
+        assert len(want) > 20 and sorted((r["a"], r["b"], r["jaccard"]) for r in pairs.collect()) == sorted((*k, v) for k, v in want.items())
+        assert {r["id"]: r["class_id"] for r in members.collect()} == {i: rep[s] for i, s in sets.items()}
+    # whole sets, eight bytes a run, are kept of texts in pairs only
+    assert [n for n, types in kept if any(k == "array<bigint>" for _, k in types)] == ["near-full"] * 2
+    pairs, members = dedup.near_pairs(df.where("false"), "id", "text")
+    assert pairs.count() == 0 and members.count() == 0
+
+
+def test_words_of_runs_are_those_of_the_engine(spark):
+    from tessera.functions import sets, text
+
+    signs = [chr(i) for i in [*range(0x250), *range(0x2000, 0x2070), 0x130, 0x3A3, 0x4E2D, 0x1D7D8]]
+    rows = [(f"aA{c}Bb {c}",) for c in signs]
+    got = spark.createDataFrame(rows, "t string").select("t", dedup._plain("t").alias("p"), text.words(F.col("t")).alias("w")).collect()
+    for r in got:
+        p = r["p"]
+        assert (p[1:].split() if p.startswith(sets.PARTED) else sets._WORD.findall(p.lower())) == r["w"], ascii(r["t"])
