@@ -12,6 +12,8 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: Counters of the table by which runs are ordered; several runs may share one, which only changes the order.
 COUNTERS = 1 << 22
@@ -37,6 +39,20 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * _MIX
 
 
+def plain_text(text: str) -> Column:
+    """A text for :func:`text_words`: as it is if Python and the JVM agree on all its letters, else its :func:`words` parted by blanks after a mark."""
+    parted = F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}]+", " ")
+    doubtful = F.startswith(F.col(text), F.lit(PARTED)) | ((F.octet_length(text) != F.length(text)) & F.col(text).rlike(DOUBTFUL))
+    return F.when(doubtful, F.concat(F.lit(PARTED), parted)).otherwise(F.col(text))
+
+
+def text_words(t: str | None) -> list[str]:
+    """The words of what :func:`plain_text` gives."""
+    if not t:
+        return []
+    return t[1:].split() if t.startswith(PARTED) else _WORD.findall(t.lower())
+
+
 def word_runs(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
     """For each text its distinct runs of ``n`` words as sorted 64-bit hashes; the whole as one if there are fewer but some."""
     factor = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1) | 1) % 2**64) for i in range(n)]
@@ -44,8 +60,7 @@ def word_runs(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
     while at < len(texts):
         flat, ends = [], []
         while at < len(texts) and len(flat) < AT_ONCE:
-            t = texts[at] or ""
-            flat.extend(map(_KNOWN.__getitem__, t[1:].split() if t.startswith(PARTED) else _WORD.findall(t.lower())))
+            flat.extend(map(_KNOWN.__getitem__, text_words(texts[at])))
             ends.append(len(flat))
             at += 1
         if len(_KNOWN) > CACHE:

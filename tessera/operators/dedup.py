@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 
 from ..functions import sets as S
 from ..functions.hashing import SIGNATURE, minhash, simhash
+from ..functions.sets import plain_text
 from ..functions.text import shingles
 from ..functions.vectors import hamming
 from ..session import materialize
@@ -40,12 +41,6 @@ CELL = 200_000
 _FILTER = 1 << 25
 
 
-def _plain(text: str) -> Column:
-    """A text for :func:`word_runs`: as it is if Python and the JVM agree on all its letters, else its :func:`words` parted by blanks after a mark."""
-    parted = F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}]+", " ")
-    return F.when(F.col(text).rlike(S.DOUBTFUL), F.concat(F.lit(S.PARTED), parted)).otherwise(F.col(text))
-
-
 def _summed(df: DataFrame, of: Callable[[Iterator[pa.RecordBatch]], np.ndarray], merge: Callable[[np.ndarray, np.ndarray], np.ndarray], blocks: int = 64) -> list[tuple[int, bytes]]:
     """One array of a task each, merged block by block on the cluster: ``(block, bytes)``."""
 
@@ -74,7 +69,7 @@ def near_pairs(df: DataFrame, key: str, text: str, words: int = WORDS, similar:
     meet in one task. Whole sets are made only of texts in pairs that remain.
     """
     spark = df.sparkSession
-    plain = df.select(key, _plain(text).alias("t"))
+    plain = df.select(key, plain_text(text).alias("t"))
     kind = df.schema[key].dataType
 
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
@@ -151,16 +146,20 @@ def near_pairs(df: DataFrame, key: str, text: str, words: int = WORDS, similar:
         held[i * len(held) // 64 : (i + 1) * len(held) // 64] = np.frombuffer(x, dtype=np.uint8)
     shared_held = spark.sparkContext.broadcast(held)
 
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f = b.column(2).to_numpy()
-            b = b.filter(pa.array((shared_held.value[f >> 3] >> (7 - (f & 7)).astype(np.uint8) & 1).astype(bool)))
+            yield b.filter(pa.array((shared_held.value[f >> 3] >> (7 - (f & 7)).astype(np.uint8) & 1).astype(bool))).select([0, 1])
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             runs = list(S.word_runs(b.column(1).to_pylist(), words))
             sums = [hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in runs]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sums, pa.binary()), pa.array([h.view(np.int64) for h in runs], pa.list_(pa.int64()))], ["k", "h", "s"])
 
     # rows may be repeated, and texts of one key may differ: a set is told by both
-    s = plain.where(F.col(key).isNotNull()).select(key, "t", place(key)).mapInArrow(full, f"k {kind.simpleString()}, h binary, s array<bigint>")
+    met_texts = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), place(key)).mapInArrow(kept, f"k {kind.simpleString()}, t string")
+    s = met_texts.select("k", plain_text("t").alias("t")).mapInArrow(full, f"k {kind.simpleString()}, h binary, s array<bigint>")
     s = materialize(s.dropDuplicates(["k", "h"]), "near-full")
     both = cand.join(s.select(F.col("k").alias("a"), F.col("h").alias("ha"), F.col("s").alias("sa")), ["a", "ha"]).join(s.select(F.col("k").alias("b"), F.col("h").alias("hb"), F.col("s").alias("sb")), ["b", "hb"])
     shared = F.size(F.array_intersect("sa", "sb"))

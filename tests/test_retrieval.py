@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -24,3 +26,29 @@ def test_knn_ties_go_to_the_smaller_key_however_rows_are_batched(spark, batch, p
     u = v / np.linalg.norm(v, axis=1)[:, None]
     s = np.array([(x * u[5]).sum() for x in u])
     assert of[5] == list(np.lexsort((np.arange(600), -s))[:10])
+
+
+def test_bm25_equals_scores_of_all_pairs_and_writes_the_best_only(spark, monkeypatch):
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(40)] + ["the"] * 60
+    rows = [(i, " ".join(["the", *(rng.choice(vocab) for _ in range(rng.randint(0, 30)))])) for i in range(700)]
+    rows += [(800, None), (801, " ."), (802, "ÉTÉ été"), (3, "w1 w1"), (5, rows[6][1]), (803, "nobody asks")]  # two keys stand twice
+    asked = [(q, t) for q in range(90) for t in {"the", *(rng.choice(["été", *vocab]) for _ in range(q % 4))}] + [(900, "unknown")]
+    docs, queries = spark.createDataFrame(rows, "id long, text string"), spark.createDataFrame(asked, "query_id long, term string")
+    # the plain join of all postings
+    post = retrieval.postings(docs, "id", "text")
+    n, avg = post.groupBy("id").agg(F.max("dl").alias("dl")).agg(F.count("*"), F.avg("dl")).collect()[0]
+    df = post.groupBy("term").agg(F.count("*").alias("df"))
+    value = F.ln(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.lit(avg)))
+    sums = queries.join(post.join(df, "term").withColumn("s", F.floor(value * 1e6 + 0.5)), "term").groupBy("query_id", "id").agg(F.sum("s").alias("score"))
+    want = sorted(map(tuple, retrieval.top_per_query(sums, "id", F.desc("score"), 7).select("query_id", "id", "score").collect()))
+    written = []
+    add = retrieval.Growing.add
+    monkeypatch.setattr(retrieval.Growing, "add", lambda self, d: (lambda out: written.append(out.count()) or out)(add(self, d)) if "bm25-found" in self.path else add(self, d))
+    for block, sets in ((50_000, 4096), (100, 20)):
+        monkeypatch.setattr(retrieval, "DOC_BLOCK", block)
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", sets)
+        got = retrieval.bm25(queries, docs.repartition(3), "id", "text", 7)
+        assert got.columns == ["query_id", "id", "score"] and sorted(map(tuple, got.collect())) == want
+    assert written[0] < sums.count() / 5  # a row for each pair would be written before
+    assert retrieval.bm25(queries.where("false"), docs, "id", "text", 7).count() == 0 == retrieval.bm25(queries, docs.where("false"), "id", "text", 7).count()
