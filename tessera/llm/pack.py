@@ -9,7 +9,9 @@ copies forbid, since a source may hold a third of all texts.
 
 Copies are of one size and come one after another, so the search for one of
 them goes on where that for the last one ended: however many copies there are,
-each container is passed over once.
+each container is passed over once, and once more for each source among them.
+All other items find a container without their source by a heap for the room
+and the source, so that every container within the slack counts.
 
 Shards of bounded size are packed side by side, large items first. Containers
 that a shard leaves with room go apart again and are packed anew in fewer
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left, insort
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,8 +35,8 @@ SHARD_ITEMS = 20_000
 CLOSED = 0.98
 #: Packing anew ends when it saves a smaller share of the containers that were packed anew.
 GAIN = 0.002
-#: Room, as a share of the capacity, within which a fresh source is preferred to a tighter fit, and how many containers are looked at for it.
-SOURCE_SLACK, SOURCE_LOOKS = 1 / 128, 16
+#: Room, as a share of the capacity, within which a fresh source is preferred to a tighter fit.
+SOURCE_SLACK = 1 / 128
 
 
 def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, slack: float = SOURCE_SLACK) -> list[int]:
@@ -49,38 +52,65 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, sla
             twice[c] = 1 << len(twice)
         seen.add(c)
     rooms: list[tuple[int, int]] = []  # (room left, container), ascending
+    room_of: list[int] = []
+    #: by room and source the containers without the source, once they were asked for; what no longer holds is dropped when it comes up
+    fresh: dict[int, dict[int, list[int]]] = {}
     has_source: list[int] = []
     has_cluster: list[int] = []
     out = [0] * len(sizes)
     near = int(capacity * slack)
-    now, begin = None, (0, -1)
+    now, begin, passed = None, (0, -1), {}
     for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], place[clusters[i]], i)):
         size, sbit, cbit = sizes[i], source_bit[sources[i]], twice.get(clusters[i], 0)
         # what a copy was turned away from stays forbidden to the next copy of its size
         if not cbit or now != (size, cbit):
-            now, begin = (size, cbit), (size, -1)
-        best, looks, at = -1, 0, bisect_left(rooms, begin)
-        while at < len(rooms) and looks < SOURCE_LOOKS:
-            room, box = rooms[at]
-            if best >= 0 and room > rooms[best][0] + near:
-                break
-            if not has_cluster[box] & cbit:
-                if best < 0:
-                    best, begin = at, rooms[at]
-                looks += 1
-                if not has_source[box] & sbit:
-                    best = at
-                    break
-            at += 1
+            now, begin, passed = (size, cbit), (size, -1), {}
+        best = bisect_left(rooms, begin)
+        while best < len(rooms) and has_cluster[rooms[best][1]] & cbit:
+            best += 1
+        if best == len(rooms):
+            best = -1
+        else:
+            begin = rooms[best]
+            if has_source[begin[1]] & sbit:
+                most = begin[0] + near
+                if cbit:  # the next copy of this source goes on where this one ends
+                    at = bisect_left(rooms, max(begin, passed.get(sbit, begin)))
+                    while at < len(rooms) and rooms[at][0] <= most and (has_cluster[rooms[at][1]] & cbit or has_source[rooms[at][1]] & sbit):
+                        at += 1
+                    passed[sbit] = rooms[at] if at < len(rooms) else (capacity + 1, -1)
+                    if at < len(rooms) and rooms[at][0] <= most:
+                        best = at
+                else:
+                    at = best
+                    while at < len(rooms) and rooms[at][0] <= most:
+                        room = rooms[at][0]
+                        end = bisect_left(rooms, (room + 1, -1), at)
+                        free = fresh.setdefault(room, {})
+                        if sbit not in free:
+                            free[sbit] = [b for _, b in rooms[bisect_left(rooms, (room, -1)) : end] if not has_source[b] & sbit]
+                        heap = free[sbit]
+                        while heap and (room_of[heap[0]] != room or has_source[heap[0]] & sbit):
+                            heappop(heap)
+                        if heap:
+                            best = bisect_left(rooms, (room, heap[0]))
+                            break
+                        at = end
         if best < 0:
             box, room, begin = len(has_source), capacity, (capacity + 1, -1)
             has_source.append(0)
             has_cluster.append(0)
+            room_of.append(capacity)
         else:
             room, box = rooms.pop(best)
         has_source[box] |= sbit
         has_cluster[box] |= cbit
         insort(rooms, (room - size, box))
+        room_of[box] = room - size
+        if size and room - size in fresh:
+            for other, heap in fresh[room - size].items():
+                if not has_source[box] & other:
+                    heappush(heap, box)
         out[i] = box
     return out
 

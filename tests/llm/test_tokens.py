@@ -119,3 +119,36 @@ def test_packing_keeps_every_token(spark):
         assert len(named) == len(set(named)) or len({d for d, _ in inside}) < len(inside)
     # only what exceeds a container is divided
     assert all(r["piece_no"] == 0 for r in out if dict((x[2], x[3]) for x in rows)[r["doc_id"]] <= 100)
+
+
+def test_every_container_within_the_slack_counts_for_a_fresh_source():
+    # thirty containers with the source stand before the one without it
+    assert best_fit([60] * 31 + [30], [*["a"] * 30, "b", "a"], [None] * 32, 100, 0.0)[31] == 30
+    rng = random.Random(5)
+    for turn in range(60):
+        n, slack = rng.randint(1, 150), rng.choice([0.0, 0.1, 0.5])
+        sizes = [rng.choice([0, 3, 10, 11, rng.randint(0, 40)]) for _ in range(n)]
+        sources, clusters = [rng.choice("aaaaabc") for _ in range(n)], [rng.choice([None, 1, 2, 3] if turn % 2 else [None]) for _ in range(n)]
+        # the same rule without an index: the tightest without a copy, or the tightest within the slack that has neither copy nor source
+        place = {c: i for i, c in enumerate(dict.fromkeys(clusters))}
+        rooms, inside, of, want = [], [], [], [0] * n
+        for i in sorted(range(n), key=lambda i: (-sizes[i], place[clusters[i]], i)):
+            fits = sorted((rooms[b], b) for b in range(len(rooms)) if rooms[b] >= sizes[i] and (clusters[i] is None or clusters[i] not in inside[b]))
+            free = [(r, b) for r, b in fits if r <= fits[0][0] + int(40 * slack) and sources[i] not in of[b]]
+            b = (free or fits or [(0, len(rooms))])[0][1]
+            if not fits:
+                rooms.append(40)
+                inside.append(set())
+                of.append(set())
+            rooms[b] -= sizes[i]
+            inside[b].add(clusters[i])
+            of[b].add(sources[i])
+            want[i] = b
+        assert best_fit(sizes, sources, clusters, 40, slack) == want
+
+
+def test_one_source_takes_no_quadratic_time():
+    for clusters in ([None] * 20_000, [None] * 10_000 + ["c"] * 10_000):
+        began = time.time()
+        best_fit([51] * 10_000 + [10] * 10_000, ["s"] * 20_000, clusters, 100)
+        assert time.time() - began < 5
