@@ -12,6 +12,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,8 +20,11 @@ from pyspark.sql import functions as F
 COUNTERS = 1 << 22
 #: Words whose hashes a worker keeps; words and pairs that are looked at together.
 CACHE, AT_ONCE, PAIRS = 500_000, 500_000, 1 << 20
+#: Characters of texts that are looked through for words at once.
+CHARS = 1 << 22
 #: Before texts that are already lower case and parted by blanks, and signs that need it: all but Latin letters and common signs, whose classes never change.
-PARTED, DOUBTFUL = "\u0001", r"[^\x{0}\x{2}-\x{24f}\x{2000}-\x{206f}]"
+#: Single ranges, since the JVM takes ten times as long for a class of several.
+PARTED, BEYOND, DOUBTFUL = "\u0001", r"[^\x{0}-\x{24f}]", (r"[\x{250}-\x{1fff}]", r"[\x{2070}-\x{10ffff}]")
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -42,7 +46,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def plain_text(text: str) -> Column:
     """A text for :func:`text_words`: as it is if Python and the JVM agree on all its letters, else its :func:`words` parted by blanks after a mark."""
     parted = F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}]+", " ")
-    doubtful = F.startswith(F.col(text), F.lit(PARTED)) | ((F.octet_length(text) != F.length(text)) & F.col(text).rlike(DOUBTFUL))
+    beyond = (F.octet_length(text) != F.length(text)) & F.col(text).rlike(BEYOND)
+    doubtful = F.startswith(F.col(text), F.lit(PARTED)) | (beyond & (F.col(text).rlike(DOUBTFUL[0]) | F.col(text).rlike(DOUBTFUL[1])))
     return F.when(doubtful, F.concat(F.lit(PARTED), parted)).otherwise(F.col(text))
 
 
@@ -53,6 +58,79 @@ def text_words(t: str | None) -> list[str]:
     return t[1:].split() if t.startswith(PARTED) else _WORD.findall(t.lower())
 
 
+#: Of each byte whether it stands in a word, as all beyond ASCII do at first; the same of signs of two bytes; masks of the first bytes of eight.
+_BYTES = np.array([c > 127 or _WORD.fullmatch(chr(c)) is not None for c in range(256)])
+_SIGNS = np.array([not (0x80 <= c < 0x250 or c == 0x307) or _WORD.fullmatch(chr(c)) is not None for c in range(1 << 11)])
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
+
+
+class Places:
+    """Finds which words of texts stand in a list, and where there: without a string for each word, eight bytes at a time."""
+
+    def __init__(self, listed: list[str]) -> None:
+        left = [(i, t.encode("utf-8", "surrogatepass"), 0) for i, t in enumerate(listed) if t and "\0" not in t]
+        self.many, self.steps = max(len(listed), 1), []
+        while left:
+            cut = [(i, t, before, int.from_bytes(t[:8], "little")) for i, t, before in left]
+            values = np.array(sorted({v for *_, v in cut}), dtype=np.uint64)
+            which = {int(v): i for i, v in enumerate(values)}
+            starts = np.array(sorted({before * len(values) + which[v] for _, _, before, v in cut}), dtype=np.int64)
+            number = {int(x): i for i, x in enumerate(starts)}
+            place, left = np.full(len(starts), -1, dtype=np.int64), []
+            for i, t, before, v in cut:
+                at = number[before * len(values) + which[v]]
+                if len(t) <= 8:
+                    place[at] = i
+                else:
+                    left.append((i, t[8:], at))
+            self.steps.append((values, starts, place))
+
+    def count(self, texts: list[str | None]) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
+        """Of what :func:`plain_text` gives, by groups of texts: lengths in words, for each text the places of listed words, and how often each stands there."""
+        at = 0
+        while at < len(texts):
+            some, n = [], 0
+            while at < len(texts) and n < CHARS:
+                t = texts[at] or ""
+                some.append((t if t.startswith(PARTED) else t.lower()).encode())
+                n, at = n + len(t), at + 1
+            yield self._counted(some)
+
+    def _counted(self, texts: list[bytes]) -> tuple[pa.Array, pa.Array, pa.Array]:
+        raw = b"\n" + b"\n".join(texts) + b"\n" * 9
+        b = np.frombuffer(raw, dtype=np.uint8)
+        word = _BYTES[b]
+        high = np.flatnonzero(b >= 0xC2)
+        two, three = high[b[high] < 0xE0], high[b[high] == 0xE2]
+        two = two[~_SIGNS[(b[two].astype(np.int64) & 31) << 6 | b[two + 1] & 63]]
+        three = three[(b[three + 1] == 0x80) | (b[three + 1] == 0x81) & (b[three + 2] < 0xB0)]  # the signs from 2000 to 206F
+        for off in (two, two + 1, three, three + 1, three + 2):
+            word[off] = False
+        turn = np.flatnonzero(word[1:] != word[:-1]) + 1
+        start, size = turn[::2], turn[1::2] - turn[::2]
+        begin = 1 + np.r_[0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)]
+        length = np.diff(np.searchsorted(start, begin))
+        eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+        place, at, state = np.full(len(start), -1, dtype=np.int64), np.arange(len(start)), np.zeros(len(start), dtype=np.int64)
+        for k, (values, starts, places) in enumerate(self.steps):
+            left = size[at] - 8 * k
+            v = eight[start[at] + 8 * k] & _FIRST[np.minimum(left, 8)]
+            i = np.minimum(np.searchsorted(values, v), len(values) - 1)
+            ok = values[i] == v
+            at, left, state = at[ok], left[ok], state[ok] * len(values) + i[ok]
+            i = np.minimum(np.searchsorted(starts, state), len(starts) - 1)
+            ok = starts[i] == state
+            at, left, state = at[ok], left[ok], i[ok]
+            place[at[left <= 8]] = places[state[left <= 8]]
+            at, state = at[left > 8], state[left > 8]
+        hit = np.flatnonzero(place >= 0)
+        pair = np.sort(np.repeat(np.arange(len(texts)), length)[hit] * self.many + place[hit])
+        new = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]][: len(pair)])
+        text, found = np.divmod(pair[new], self.many)
+        ends = pa.array(np.r_[0, np.cumsum(np.bincount(text, minlength=len(texts)))], pa.int32())
+        return pa.array(length, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(found, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(np.diff(np.r_[new, len(pair)]), pa.int64()))
+
+
 def word_runs(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
     """For each text its distinct runs of ``n`` words as sorted 64-bit hashes; the whole as one if there are fewer but some."""
     factor = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1) | 1) % 2**64) for i in range(n)]

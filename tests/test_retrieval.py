@@ -1,9 +1,11 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import sets
 from tessera.operators import retrieval
 
 
@@ -52,3 +54,39 @@ def test_bm25_equals_scores_of_all_pairs_and_writes_the_best_only(spark, monkeyp
         assert got.columns == ["query_id", "id", "score"] and sorted(map(tuple, got.collect())) == want
     assert written[0] < sums.count() / 5  # a row for each pair would be written before
     assert retrieval.bm25(queries.where("false"), docs, "id", "text", 7).count() == 0 == retrieval.bm25(queries, docs.where("false"), "id", "text", 7).count()
+
+
+def counted(texts, listed):
+    out = []
+    for dl, at, tf in sets.Places(listed).count(texts):
+        out += [(n, dict(zip(a, f, strict=True))) for n, a, f in zip(dl.to_pylist(), at.to_pylist(), tf.to_pylist())]
+    return out
+
+
+@pytest.mark.parametrize("chars", [1 << 22, 10])
+def test_places_of_words_are_those_of_the_words_themselves(monkeypatch, chars):
+    monkeypatch.setattr(sets, "CHARS", chars)
+    rng = random.Random(1)
+    texts = [f"aA{c}Bb {c} x{c}" for c in map(chr, [0, *range(2, 0x250), *range(0x2000, 0x2070)])]
+    texts += ["".join(rng.choice("abé ß-ł_’") for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    texts += [None, "", *("a" * n for n in (7, 8, 9, 16, 17, 24)), "É" * 20, "\u0001", "\u0001中文 abc 𝟘x ⁰y é"]
+    words = sorted({w for t in texts for w in sets.text_words(t)})
+    for listed in (words, words[::3], [], ["a" * 8, "a" * 16, "a" * 23, "a b", "中文", "⁰y", "é" * 20, "a\0", ""]):
+        place = {w: i for i, w in enumerate(listed)}
+        assert counted(texts, listed) == [(len(w), dict(Counter(place[x] for x in w if x in place))) for w in map(sets.text_words, texts)]
+    assert counted([], words) == []
+
+
+def test_bm25_shares_sums_of_like_sets(spark, monkeypatch):
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(rng.choices(vocab, weights=range(30, 0, -1), k=rng.randint(0, 25)))) for i in range(400)]
+    rows += [(i, rows[7][1]) for i in range(400, 500)]  # many of one score
+    asked = [(q, t) for q in range(60) for t in rng.sample(vocab, 1 + q % 18)]
+    docs, queries = spark.createDataFrame(rows, "id long, text string"), spark.createDataFrame(asked, "query_id long, term string")
+    want = sorted(map(tuple, retrieval.bm25(queries, docs, "id", "text", 500).collect()))
+    best = [r for q in range(60) for r in sorted((r for r in want if r[0] == q), key=lambda r: (-r[2], r[1]))[:7]]
+    for shared, sampled, dense in ((0, 20, 0), (3, 50, 4), (12, 4096, 150)):
+        for name, value in (("SHARED", shared), ("SAMPLED", sampled), ("DENSE_MOST", dense)):
+            monkeypatch.setattr(retrieval, name, value)
+        assert sorted(map(tuple, retrieval.bm25(queries, docs, "id", "text", 7).collect())) == sorted(best)
